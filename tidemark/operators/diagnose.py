@@ -27,8 +27,9 @@ def hour_weekday_pivot(
     """The same as a 7 x 24 table with columns h00..h23."""
     wall = timefn.local_wall(ts, zone)
     wide = (
-        df.groupBy(F.weekday(wall).alias("weekday"))
-        .pivot(F.format_string("h%02d", F.hour(wall)), [f"h{h:02d}" for h in range(24)])
+        df.withColumn("__hour", F.format_string("h%02d", F.hour(wall)))
+        .groupBy(F.weekday(wall).alias("weekday"))
+        .pivot("__hour", [f"h{h:02d}" for h in range(24)])
         .agg(F.avg(value))
     )
     days = df.sparkSession.range(7).select(F.col("id").cast("int").alias("weekday"))
