@@ -138,36 +138,22 @@ def fold_moments(
     """
     placed = frame.withColumn("cell", split.train_cell(F.col(ix)))
     cells = regress.moments(placed, features, target, ["cell"], intercept)
-    width = len(features) + int(intercept) + 1
-    size = width * (width + 1) // 2
     if split.fixed_window:
         low = F.col("cell.e")
         high = F.least(F.lit(folds - 1).cast("long"), F.col("cell.s"))
         spread = cells.filter(low <= high).select(
-            "*", F.explode(F.sequence(low, high)).alias("fold_index")
+            F.explode(F.sequence(low, high)).alias("fold_index"), "packed"
         )
-        return regress.add_moments(spread, ["fold_index"], size)
-    flat = cells.select(
-        "cell",
-        "n_obs",
-        "sum_y",
-        "sum_w",
-        *(F.get("gram", F.lit(i)).alias(f"g{i}") for i in range(size)),
-    )
-    names = ["n_obs", "sum_y", "sum_w", *(f"g{i}" for i in range(size))]
+        return regress.add_packed(spread, ["fold_index"])
     sums = ordered.running(
-        flat,
+        regress.unpack(cells, ["cell"]),
         "cell",
-        {f"s_{n}": Running("sum", n) for n in names},
+        {"total": Running("sum", "value")},
+        ["pos"],
         cut=ordered.width(1_000),
     )
-    return sums.filter(F.col("cell") < folds).select(
-        F.col("cell").alias("fold_index"),
-        F.col("s_n_obs").alias("n_obs"),
-        F.col("s_sum_y").alias("sum_y"),
-        F.col("s_sum_w").alias("sum_w"),
-        F.array(*(F.col(f"s_g{i}") for i in range(size))).alias("gram"),
-    )
+    per_fold = sums.filter(F.col("cell") < folds).withColumnRenamed("cell", "fold_index")
+    return regress.pack(per_fold, ["fold_index"], "total")
 
 
 class Forecaster(Protocol):

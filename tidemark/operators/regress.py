@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from tidemark.functions import timefn
 
 # Up to this many design columns the moments are one SQL aggregate; a wider
-# design would make thousands of aggregate expressions, so it goes by Arrow.
-SQL_MOMENT_COLUMNS = 16
+# design needs a sum per pair of columns, which a matrix product does better.
+SQL_MOMENT_COLUMNS = 8
+# Layout of packed sums: rows, weight, weighted target, then the upper triangle
+# of the moment matrix of (design columns, target).
+HEAD = 3
 # Eigenvalues of X'X below this share of the largest count as zero.
 PINV_CUTOFF = 1e-12
 
@@ -50,11 +53,11 @@ def moments(
     intercept: bool = True,
     weight: str | None = None,
 ) -> DataFrame:
-    """Upper triangle of the (weighted) moment matrix per group.
+    """Packed (weighted) sums per group: columns ``by`` and ``packed`` (array).
 
     Rows with a null weigh nothing, and a group of only such rows keeps zeros.
-    Columns: ``by``, ``n_obs``, ``sum_y``, ``sum_w``, ``gram`` (array).
     """
+    by = list(by)
     complete = F.col(target).isNotNull()
     for c in features:
         complete = complete & F.col(c).isNotNull()
@@ -63,23 +66,21 @@ def moments(
     rows = df.select(
         *by,
         F.when(complete, w).otherwise(0.0).alias("__w"),
-        complete.cast("long").alias("__n"),
+        complete.cast("double").alias("__n"),
         *(c.alias(f"__x{i}") for i, c in enumerate(cells)),
     )
     if len(cells) > SQL_MOMENT_COLUMNS:
-        return _wide_moments(rows, len(cells), list(by))
-    products = [
-        F.sum(F.col("__w") * F.col(f"__x{i}") * F.col(f"__x{j}")).alias(f"__m{i}_{j}")
-        for i, j in _pairs(len(cells))
+        return _wide_moments(rows, len(cells), by)
+    last = f"__x{len(cells) - 1}"
+    sums = [F.sum("__n"), F.sum("__w"), F.sum(F.col("__w") * F.col(last))]
+    sums += [
+        F.sum(F.col("__w") * F.col(f"__x{i}") * F.col(f"__x{j}")) for i, j in _pairs(len(cells))
     ]
-    sums = rows.groupBy(*by).agg(
-        F.sum("__n").alias("n_obs"),
-        F.sum(F.col("__w") * F.col(f"__x{len(cells) - 1}")).alias("sum_y"),
-        F.sum("__w").alias("sum_w"),
-        *products,
+    summed = rows.groupBy(*by).agg(*(c.alias(f"__s{i}") for i, c in enumerate(sums)))
+    empty = F.lit(0.0)
+    return summed.select(
+        *by, F.array(*(F.coalesce(f"__s{i}", empty) for i in range(len(sums)))).alias("packed")
     )
-    gram = F.array(*(F.col(f"__m{i}_{j}") for i, j in _pairs(len(cells))))
-    return sums.select(*by, "n_obs", "sum_y", "sum_w", gram.alias("gram"))
 
 
 def _fields(df: DataFrame, by: Sequence[str]) -> str:
@@ -102,36 +103,41 @@ def _wide_moments(rows: DataFrame, width: int, by: list[str]) -> DataFrame:
                 x = np.vstack(part["x"].to_numpy())
                 w = part["__w"].to_numpy()
                 gram = (x * w[:, None]).T @ x
+                head = [float(part["__n"].sum()), float(w.sum()), float(w @ x[:, -1])]
                 key = key if isinstance(key, tuple) else (key,)
-                sums = (int(part["__n"].sum()), float(w @ x[:, -1]), float(w.sum()))
-                out.append((*key, *sums, gram[upper].tolist()))
-            yield pd.DataFrame(out, columns=[*by, "n_obs", "sum_y", "sum_w", "gram"])
+                out.append((*key, head + gram[upper].tolist()))
+            yield pd.DataFrame(out, columns=[*by, "packed"])
 
-    kinds = _fields(rows, by)
-    parts = narrow.mapInPandas(
-        partial, f"{kinds}n_obs long, sum_y double, sum_w double, gram array<double>"
-    )
-    return add_moments(parts, by, len(upper[0]))
+    return add_packed(narrow.mapInPandas(partial, f"{_fields(rows, by)}packed array<double>"), by)
 
 
-def add_moments(parts: DataFrame, by: Sequence[str], cells: int) -> DataFrame:
-    """Sum partial moments per group; array cells are summed by position."""
-    group = parts.groupBy(*by) if by else parts.groupBy()
-    sums = group.agg(
-        F.sum("n_obs").alias("n_obs"),
-        F.sum("sum_y").alias("sum_y"),
-        F.sum("sum_w").alias("sum_w"),
-        *(F.sum(F.get("gram", F.lit(i))).alias(f"__g{i}") for i in range(cells)),
-    )
-    return sums.select(
-        *by, "n_obs", "sum_y", "sum_w", F.array(*(F.col(f"__g{i}") for i in range(cells))).alias("gram")
+def unpack(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per group and position of the packed sums."""
+    return parts.select(*by, F.posexplode("packed").alias("pos", "value"))
+
+
+def pack(long: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
+    """Positions back to one array per group (as long as the packed layout)."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col(value).alias("v"))))
+    return (
+        long.groupBy(*by)
+        .agg(listed.alias("cells"))
+        .select(*by, F.transform("cells", lambda c: c["v"]).alias("packed"))
     )
 
 
-def _solve_one(n: int, sum_y: float, sum_w: float, packed: Sequence[float], intercept: bool):
-    width = int((np.sqrt(8 * len(packed) + 1) - 1) / 2)
+def add_packed(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sum packed partial sums per group, position by position."""
+    by = list(by)
+    return pack(unpack(parts, by).groupBy(*by, "pos").agg(F.sum("value").alias("value")), by)
+
+
+def solve_packed(packed: Sequence[float], intercept: bool = True) -> tuple:
+    """Least squares from one group's packed sums, in the order of ``FIT_SCHEMA``."""
+    n, sum_w, sum_y = int(packed[0]), packed[1], packed[2]
+    width = int((np.sqrt(8 * (len(packed) - HEAD) + 1) - 1) / 2)
     full = np.zeros((width, width))
-    full[np.triu_indices(width)] = packed
+    full[np.triu_indices(width)] = packed[HEAD:]
     full = full + np.triu(full, 1).T
     xtx, xty, yty = full[:-1, :-1], full[:-1, -1], full[-1, -1]
     # Pseudo-inverse: collinear columns get the minimum-norm solution.
@@ -161,16 +167,13 @@ def solve(sums: DataFrame, by: Sequence[str] = (), intercept: bool = True) -> Da
             "coefficients", "std_errors", "covariance", "r_squared", "residual_variance", "n_obs",
         ]
         for batch in batches:
-            solved = [
-                _solve_one(r.n_obs, r.sum_y, r.sum_w, r.gram, intercept)
-                for r in batch.itertuples()
-            ]
+            solved = [solve_packed(packed, intercept) for packed in batch["packed"]]
             out = pd.DataFrame(solved, columns=names)
             for k in by:
                 out[k] = batch[k].to_numpy()
             yield out[[*by, *names]]
 
-    return sums.filter("n_obs > 0").mapInPandas(fit, f"{kinds}{FIT_SCHEMA}")
+    return sums.filter(F.get("packed", F.lit(0)) > 0).mapInPandas(fit, f"{kinds}{FIT_SCHEMA}")
 
 
 def fit_ols(
@@ -282,22 +285,19 @@ def fit_robust(
     coefficients (one number per design column) visit the driver, as literals
     of the next pass, so lineage does not grow.
     """
-    fits = fit_ols(df, features, target)
-    if loss == "linear":
-        return fits
-    beta = fits.first()["coefficients"]
-    for _ in range(iterations):
+    packed = moments(df, features, target)
+    beta = solve_packed(packed.first()["packed"])[0]
+    for _ in range(iterations if loss != "linear" else 0):
         literal = F.array(*(F.lit(float(b)) for b in beta))
         residual = F.col(target).cast("double") - dot(features, literal)
         weighted = df.withColumn("__weight", loss_weight(loss, residual))
-        fits = solve(moments(weighted, features, target, weight="__weight"))
-        new = fits.first()["coefficients"]
+        packed = moments(weighted, features, target, weight="__weight")
+        new = solve_packed(packed.first()["packed"])[0]
         change = max(abs(a - b) for a, b in zip(new, beta, strict=True))
-        scale = max(1.0, max(abs(b) for b in new))
         beta = new
-        if change <= tolerance * scale:
+        if change <= tolerance * max(1.0, max(abs(b) for b in new)):
             break
-    return fits
+    return solve(packed)
 
 
 def hinge_slopes(
