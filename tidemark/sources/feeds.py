@@ -103,9 +103,15 @@ def pick_date_format(df: DataFrame, column: str, formats: Sequence[str] = DATE_F
 
 
 def parse_dates(df: DataFrame, column: str, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
-    """Parse the whole column with one format; no mixing of formats within it."""
+    """Parse the whole column with one format; no mixing of formats within it.
+
+    Two-digit years mean 1969 to 2068, where Spark alone would read 2000 to 2099.
+    """
     chosen = pick_date_format(df, column, formats)
-    return df.withColumn(column, F.to_timestamp(F.col(column), chosen).cast("date"))
+    day = F.to_timestamp(F.col(column), chosen).cast("date")
+    if "yy" in chosen and "yyyy" not in chosen:
+        day = F.when(F.year(day) > 2068, F.add_months(day, -1200)).otherwise(day)
+    return df.withColumn(column, day)
 
 
 def demand_rows(
