@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,9 +82,14 @@ def merge_pair(symbols: Column, left: str, right: str) -> Column:
     return unfence(merge_fenced(fence(symbols), left, right))
 
 
+def fenced_bytes(text: Column) -> Column:
+    """UTF-8 bytes of a text as a fenced string of two-digit hex symbols."""
+    return F.regexp_replace(F.hex(F.encode(text, "UTF-8")), "(..)", "|$1|")
+
+
 def byte_symbols(text: Column) -> Column:
-    """UTF-8 bytes of a text as an array of two-digit hex symbols."""
-    return F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("[0-9A-F]{2}"), 0)
+    """The same as an array."""
+    return unfence(fenced_bytes(text))
 
 
 def within(expected: Column, actual: Column, tolerance: float | None) -> Column:
@@ -95,6 +100,14 @@ def within(expected: Column, actual: Column, tolerance: float | None) -> Column:
     return both_null | F.coalesce(F.abs(expected - actual) <= tolerance, F.lit(False))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use the result several times.
+
+    Expressions inside a lambda are evaluated per element; a bound value is not.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def l2_norm(vector: Column) -> Column:
     return F.sqrt(
         F.aggregate(
@@ -105,9 +118,15 @@ def l2_norm(vector: Column) -> Column:
 
 def l2_normalise(vector: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    norm = l2_norm(vector)
-    scale = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
-    return F.transform(vector, lambda x: (x.cast("double") / scale).cast("float"))
+    def scaled(v: Column) -> Column:
+        norm = l2_norm(v)
+        scale = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
+        return bind(
+            F.struct(v.alias("v"), scale.alias("s")),
+            lambda p: F.transform(p["v"], lambda x: (x.cast("double") / p["s"]).cast("float")),
+        )
+
+    return bind(vector, scaled)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -131,10 +150,13 @@ def hash_vector(text: Column, dim: int) -> Column:
     for _ in range((dim + 31) // 32 - 1):
         digest = F.sha2(F.unhex(digest), 256)
         chain = F.concat(chain, digest)
-    cells = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: (
-            F.conv(F.substring(chain, i * 2 + 1, F.lit(2)), 16, 10).cast("float") - F.lit(128.0)
-        ).cast("float"),
+    cells = bind(
+        chain,
+        lambda h: F.transform(
+            F.sequence(F.lit(0), F.lit(dim - 1)),
+            lambda i: (
+                F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("float") - F.lit(128.0)
+            ).cast("float"),
+        ),
     )
     return l2_normalise(cells)

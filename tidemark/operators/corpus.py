@@ -93,8 +93,17 @@ def pretoken_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def words_table(counts: DataFrame) -> DataFrame:
-    """Distinct pre-tokens as fenced byte symbols with their frequency."""
-    return counts.select(textfn.fence(textfn.byte_symbols(F.col("token"))).alias("word"), "freq")
+    """Distinct pre-tokens as fenced byte symbols with their frequency.
+
+    The table is short in bytes but every pass over it is computation, so it is
+    spread over all cores instead of being packed into few partitions by size.
+    """
+    spark = counts.sparkSession
+    parts = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    words = counts.select(textfn.fenced_bytes(F.col("token")).alias("word"), "freq")
+    return words.repartition(parts)
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
