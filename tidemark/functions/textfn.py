@@ -55,17 +55,13 @@ def utf8_bytes(text: Column | str) -> Column:
 
 def fence(symbols: Column) -> Column:
     """Array of hex symbols as one string, each symbol between its own bars."""
-    return F.when(
-        F.size(symbols) > 0, F.concat(F.lit("|"), F.array_join(symbols, "||"), F.lit("|"))
-    ).otherwise(F.lit(""))
+    barred = F.transform(symbols, lambda x: F.concat(F.lit("|"), x, F.lit("|")))
+    return F.array_join(barred, "")
 
 
 def unfence(fenced: Column) -> Column:
     """The array behind a fenced string."""
-    inner = F.substring(fenced, F.lit(2), F.length(fenced) - 2)
-    return F.when(F.length(fenced) > 0, F.split(inner, r"\|\|")).otherwise(
-        F.array().cast("array<string>")
-    )
+    return F.regexp_extract_all(fenced, F.lit("[0-9A-F]+"), 0)
 
 
 def merge_fenced(fenced: Column, left: str, right: str) -> Column:

@@ -21,6 +21,9 @@ PRETOKEN_PATTERN = (
     rf"|{SPACE}+(?!\P{{IsWhite_Space}})"
     rf"|{SPACE}+"
 )
+# Two neighbours of a fenced word. Only one bar is consumed, so that the right
+# symbol is seen again as the left one of the next pair.
+NEIGHBOURS = r"(?=\|([0-9A-F]+\|\|[0-9A-F]+)\|)\|"
 
 
 def profile(pieces: DataFrame, text: str = "text") -> DataFrame:
@@ -108,16 +111,14 @@ def words_table(counts: DataFrame) -> DataFrame:
 
 def pair_counts(words: DataFrame) -> DataFrame:
     """Adjacent symbol pairs inside words, weighted by word frequency."""
-    symbols = textfn.unfence(F.col("word"))
-    pairs = words.select("freq", symbols.alias("s")).filter(F.size("s") > 1)
-    left = F.slice("s", F.lit(1), F.size("s") - 1)
-    right = F.slice("s", F.lit(2), F.size("s") - 1)
-    zipped = F.arrays_zip(left.alias("left"), right.alias("right"))
-    return (
-        pairs.select("freq", F.explode(zipped).alias("p"))
-        .groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right"))
+    found = F.regexp_extract_all(F.col("word"), F.lit(NEIGHBOURS), 1)
+    counted = (
+        words.select("freq", F.explode(found).alias("pair"))
+        .groupBy("pair")
         .agg(F.sum("freq").alias("n"))
     )
+    sides = F.split("pair", r"\|\|")
+    return counted.select(sides[0].alias("left"), sides[1].alias("right"), "n")
 
 
 def best_pairs(pairs: DataFrame, top: int) -> DataFrame:

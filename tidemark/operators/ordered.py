@@ -10,7 +10,8 @@ cut into buckets:
    small as the number of buckets);
 3. the carry of the earlier buckets joins back on (key, bucket).
 
-How the buckets are cut is a parameter. ``width`` is arithmetic and lazy: right
+How the buckets are cut is a parameter, a function that adds the bucket column
+(or leaves it out when it has counted that one bucket is enough). ``width`` is arithmetic and lazy: right
 where the order values are unique on a grid (hourly tables), because the width
 then bounds the rows of a bucket. ``balanced`` takes quantiles of the order
 column, so that a burst in time or one hot key is still cut in even pieces.
@@ -62,8 +63,9 @@ def balanced(
 ) -> BucketCut:
     """Equal-depth buckets from the quantiles of the order column.
 
-    Costs one pass over the order column, and a second one for the quantiles
-    when there is more than one bucket. Cutting is a binary search per row.
+    Costs one count, and a pass for the quantiles when there is more than one
+    bucket. Cutting is a binary search per row. A table counted to fit one
+    bucket is left uncut, and the operators then use a plain window.
     """
 
     def cut(df: DataFrame, order: str) -> DataFrame:
@@ -71,7 +73,7 @@ def balanced(
         rows = df.count()
         buckets = min(max_buckets, -(-rows // rows_per_bucket))
         if buckets <= 1:
-            return df.withColumn(BUCKET, F.lit(0).cast("long"))
+            return df
         probabilities = [i / buckets for i in range(1, buckets)]
         splits = df.select(number.alias("v")).approxQuantile(
             "v", probabilities, 1.0 / (4 * buckets)
@@ -157,7 +159,8 @@ def running(
     order = [order] if isinstance(order, str) else list(order)
     keys = list(keys)
     placed = (cut or width())(guard_keys(df, keys), order[0])
-    group = [*keys, BUCKET]
+    cut_up = BUCKET in placed.columns
+    group = [*keys, BUCKET] if cut_up else keys
     inside = (
         Window.partitionBy(*group)
         .orderBy(*order)
@@ -166,6 +169,12 @@ def running(
     local = placed.select(
         "*", *(v.over(inside).alias(f"__l_{name}") for name, v in values.items())
     )
+    if not cut_up:
+        none = F.lit(None)
+        return local.select(
+            *(c for c in df.columns if c not in values),
+            *(v.combine(none, F.col(f"__l_{name}")).alias(name) for name, v in values.items()),
+        )
     position = F.struct(*order) if len(order) > 1 else F.col(order[0])
     summaries = placed.groupBy(*group).agg(
         *(v.summary(position).alias(f"__s_{name}") for name, v in values.items())
@@ -219,6 +228,9 @@ def following(
     """The column's value on the next row of the key; null on the last row."""
     keys = list(keys)
     placed = (cut or balanced())(guard_keys(df, keys), order)
+    if BUCKET not in placed.columns:
+        whole = Window.partitionBy(*keys).orderBy(order)
+        return placed.select(*df.columns, F.lead(column).over(whole).alias(name))
     group = [*keys, BUCKET]
     inside = Window.partitionBy(*group).orderBy(order)
     local = placed.withColumn("__next", F.lead(F.struct(column)).over(inside))

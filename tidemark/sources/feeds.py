@@ -7,6 +7,7 @@ folder, a table of payloads, or a stream of them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,10 @@ from tidemark.sources.contracts import ContractError, cast_to_contract
 
 # The date formats the demand and forecast feeds have used.
 DATE_FORMATS = ("dd-MMM-yy", "dd-MMM-yyyy", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss")
+# The shape a text must have before a format is tried: a failed parse is far
+# dearer than a failed match.
+SHAPE_OF = {"yyyy": "[0-9]{4}", "yy": "[0-9]{2}", "MMM": "[A-Za-z]{3}", "MM": "[0-9]{2}",
+            "dd": "[0-9]{2}", "HH": "[0-9]{2}", "mm": "[0-9]{2}", "ss": "[0-9]{2}", "'T'": "T"}
 HOURLY_VARIABLES = (
     "temperature_2m",
     "dew_point_2m",
@@ -81,19 +86,25 @@ def paged_records(
     return parsed.select(*keep, F.explode(records).alias("__r")).select(*keep, "__r.*")
 
 
+def format_shape(pattern: str) -> str:
+    """Regular expression of the texts a date format can read."""
+    parts = re.findall("|".join([*SHAPE_OF, "."]), pattern)
+    return "^" + "".join(SHAPE_OF.get(p, re.escape(p)) for p in parts) + "$"
+
+
 def pick_date_format(df: DataFrame, column: str, formats: Sequence[str] = DATE_FORMATS) -> str:
     """The first format that parses every non-null value of the column.
 
     One aggregate tries all formats; the driver sees one row of counts.
     """
     value = F.col(column)
+
+    def unreadable(f: str) -> Column:
+        fits = F.when(value.rlike(format_shape(f)), F.try_to_timestamp(value, F.lit(f)))
+        return value.isNotNull() & fits.isNull()
+
     misses = df.agg(
-        *(
-            F.count_if(value.isNotNull() & F.try_to_timestamp(value, F.lit(f)).isNull()).alias(
-                f"f{i}"
-            )
-            for i, f in enumerate(formats)
-        ),
+        *(F.count_if(unreadable(f)).alias(f"f{i}") for i, f in enumerate(formats)),
         F.min(value).alias("sample"),
     ).first()
     for i, f in enumerate(formats):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.session import ensure_session
 from tidemark.streaming import live
 from workload import query, roles
-from workload.roles import OUTAGE_LOG, ntz, rounded
+from workload.roles import OUTAGE_LOG, ntz
 
 
 def file_stream(spark, sf, name):
@@ -21,12 +21,13 @@ def file_stream(spark, sf, name):
 
 @query(
     "stream_hourly_values",
-    'SELECT date_trunc(\'hour\', ts) AS hour, event_type, round(avg(value), 6) AS mean, max(value) AS "max", count(*) AS n FROM events GROUP BY 1, 2',
+    'SELECT date_trunc(\'hour\', ts) AS hour, event_type, avg(CAST(round(value * 100) AS BIGINT)) AS mean, max(CAST(round(value * 100) AS BIGINT)) AS "max", count(*) AS n FROM events GROUP BY 1, 2',
 )
 def stream_hourly_values(spark, sf):
-    hourly = live.hourly(file_stream(spark, sf, "events"), "ts", "value", ["event_type"])
+    events = file_stream(spark, sf, "events").withColumn("cents", roles.cents())
+    hourly = live.hourly(events, "ts", "cents", ["event_type"])
     updates = live.drain(hourly, "stream-hourly", "update")
-    return ntz(rounded(live.newest(updates, ["event_type", "hour"])))
+    return ntz(live.newest(updates, ["event_type", "hour"]))
 
 
 @query("stream_deduplicated", "SELECT DISTINCT o_custkey, o_orderdate FROM orders")

@@ -78,7 +78,7 @@ _HASHED = "list_transform(range(8), lambda i: CAST('0x' || substr({h}, CAST(2 *
 @query(
     "hash_vectors",
     f"""WITH v AS (SELECT doc_id, {_HASHED.format(h="sha256(text)")} AS raw FROM documents)
-SELECT doc_id, list_transform(raw, lambda x: round(x / sqrt(list_sum(list_transform(raw, lambda y: y * y))), 4)) AS vector FROM v""",
+SELECT doc_id, list_transform(raw, lambda x: round(CAST(CAST(x / sqrt(list_sum(list_transform(raw, lambda y: y * y))) AS FLOAT) AS DOUBLE), 4)) AS vector FROM v""",
 )
 def hash_vectors(spark, sf):
     docs = roles.table(spark, sf, "documents")
