@@ -17,6 +17,7 @@ from tidemark import schemas
 from tidemark.functions import timefn
 from tidemark.operators import ordered
 from tidemark.operators.ordered import BucketCut, Running
+from tidemark.session import stage
 from tidemark.sources.contracts import ContractError, require_instants
 
 WITHDRAWN = "Withdrawn"
@@ -167,7 +168,12 @@ def revision_validity(log: DataFrame, cut: BucketCut | None = None) -> DataFrame
         F.max("revision_number").alias("__top")
     )
     nexts = ordered.following(
-        instants, "published_at", "published_at", "__next", ["mrid"], cut
+        instants,
+        "published_at",
+        "published_at",
+        "__next",
+        ["mrid"],
+        cut or ordered.balanced(at_most=log),
     )
     joined = log.join(nexts, ["mrid", "published_at"], "left")
     ends = F.when(F.col("revision_number") < F.col("__top"), F.col("published_at")).otherwise(
@@ -278,8 +284,9 @@ def outage_rollup(
         F.sum("soon").alias("soon"),
         F.max("on_grid").alias("on_grid"),
     )
+    # As long as the calendar; staged, so that the log is read once.
     summed = ordered.running(
-        per_hour,
+        stage(per_hour),
         ts,
         {
             "total_now": Running("sum", "total"),

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import stage
+
 BUCKET = "__bucket"
 DAY_MICROS = 86_400_000_000
 # 30 days of an hourly series: 720 rows per key.
@@ -59,18 +61,22 @@ def width(size: int = DEFAULT_WIDTH_MICROS) -> BucketCut:
 
 
 def balanced(
-    rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    max_buckets: int = MAX_BUCKETS,
+    at_most: DataFrame | None = None,
 ) -> BucketCut:
     """Equal-depth buckets from the quantiles of the order column.
 
     Costs one count, and a pass for the quantiles when there is more than one
     bucket. Cutting is a binary search per row. A table counted to fit one
-    bucket is left uncut, and the operators then use a plain window.
+    bucket is left uncut, and the operators then use a plain window. ``at_most``
+    is a frame with at least as many rows that is cheaper to count, such as the
+    scan below an aggregate (parquet counts come from the footers).
     """
 
     def cut(df: DataFrame, order: str) -> DataFrame:
         number = order_number(df, order).cast("double")
-        rows = df.count()
+        rows = (df if at_most is None else at_most).count()
         buckets = min(max_buckets, -(-rows // rows_per_bucket))
         if buckets <= 1:
             return df
@@ -391,7 +397,8 @@ def running_total(
     per_instant = deltas.groupBy(*keys, F.col("e.t").alias("t")).agg(
         F.sum("e.delta").alias("delta")
     )
-    return running(per_instant, "t", {"total": Running("sum", "delta")}, keys, cut)
+    # Staged, because the ordered part reads it twice and the intervals once is enough.
+    return running(stage(per_instant), "t", {"total": Running("sum", "delta")}, keys, cut or balanced())
 
 
 def step_lookup(
