@@ -79,19 +79,19 @@ def test_station_mean_truth(spark):
         spark.createDataFrame(
             [
                 ("2024-01-01", "london", 6.0, None),
-                ("2024-01-01", "bristol", 4.0, None),
+                ("2024-01-01", "cardiff", 4.0, None),
                 ("2024-01-01", "manchester", 2.0, None),
                 ("2024-01-01", "glasgow", 2.0, None),
                 ("2024-01-01", "paris", 99.0, None),
                 ("2024-01-02", "london", None, 1.0),
-                ("2024-01-02", "bristol", 4.0, 1.0),
+                ("2024-01-02", "cardiff", 4.0, 1.0),
                 ("2024-01-02", "manchester", 1.0, None),
             ],
             "timestamp_utc string, station string, a double, b double",
         ),
         "timestamp_utc",
     )
-    weights = {"london": 8, "bristol": 2, "manchester": 2, "glasgow": 1}
+    weights = {"london": 8, "cardiff": 2, "manchester": 2, "glasgow": 1}
     out = {r[0].day: (r["a"], r["b"]) for r in resample.station_mean(rows, weights, ["a", "b"]).collect()}
     assert out[1] == (pytest.approx(62 / 13), None)
     assert out[2] == (pytest.approx(10 / 4), 1.0)

@@ -253,3 +253,22 @@ def test_tail_split_minimum(spark):
     rows = spark.range(50).select(F.col("id").alias("ix"))
     assert ordered.tail_split(rows, 0.1, 1).filter("is_tail").count() == 5
     assert ordered.tail_split(rows, 0.1, 12).filter("is_tail").count() == 12
+
+
+def test_hinge_slopes_by_hand(frame):
+    df, pdf = frame
+    got = regress.hinge_slopes(df, "y", "temperature_2m").first()
+    heat = np.maximum(0, 15.5 - pdf["temperature_2m"])
+    centred = pdf["y"] - pdf["y"].mean()
+    assert got["alpha"] == pytest.approx(pdf["y"].mean())
+    assert got["beta_heat"] == pytest.approx((heat * centred).sum() / (heat * heat).sum())
+
+
+@pytest.mark.parametrize("rows", [5, 60, 10_000])
+def test_capped_sample_keeps_the_smallest_hashes(spark, rows):
+    import hashlib
+
+    df = spark.range(3000)
+    got = {r[0] for r in diagnose.capped_sample(df, "id", rows, 3).collect()}
+    ranked = sorted(range(3000), key=lambda i: hashlib.sha256(f"3:{i}".encode()).hexdigest())
+    assert got == set(ranked[:rows])

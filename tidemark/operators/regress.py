@@ -307,16 +307,16 @@ def hinge_slopes(
     t_heat: float = 15.5,
     t_cool: float = 22.0,
 ) -> DataFrame:
-    """Mean level and through-origin heating and cooling slopes, one aggregate each side.
+    """Mean level and through-origin heating and cooling slopes in one aggregate.
 
-    The slopes are about the overall mean, which one scalar subquery supplies.
+    The slope about the mean, sum(h (y - m)) / sum(h h), splits into plain sums.
     """
     y = F.col(target).cast("double")
-    mean = df.agg(F.avg(y)).scalar()
     heating, cooling = timefn.degree_terms(temperature, t_heat, t_cool)
 
     def slope(h: Column) -> Column:
-        return F.coalesce(F.try_divide(F.sum(h * (y - mean)), F.sum(h * h)), F.lit(0.0))
+        about_mean = F.sum(h * y) - F.avg(y) * F.sum(F.when(y.isNotNull(), h))
+        return F.coalesce(F.try_divide(about_mean, F.sum(h * h)), F.lit(0.0))
 
     return df.agg(
         F.avg(y).alias("alpha"), slope(heating).alias("beta_heat"), slope(cooling).alias("beta_cool")
