@@ -113,15 +113,18 @@ def embed_and_search(spark, sf):
     return found.select("query_id", "rank", "score")
 
 
-@query("corpus_fingerprint")
+@query(
+    "corpus_fingerprint",
+    "SELECT sha256(sha256_of) AS fingerprint FROM (SELECT string_agg(sha256(text), chr(10) ORDER BY doc_id) AS sha256_of FROM documents)",
+)
 def corpus_fingerprint(spark, sf):
-    """Order-sensitive digest of all texts."""
+    """Order-sensitive digest of all texts; one level of the tree at this size."""
     from tidemark.operators import ordered
     from tidemark.sources import tables
 
     docs = roles.table(spark, sf, "documents").select("doc_id", "text")
     placed = ordered.row_index(docs, "doc_id", cut=ordered.balanced(), name="pos")
-    return tables.corpus_fingerprint(placed, "pos", "text", width=100)
+    return tables.corpus_fingerprint(placed, "pos", "text")
 
 
 @query(
