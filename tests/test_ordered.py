@@ -130,3 +130,22 @@ def test_plans_keep_rows_off_one_task(series):
         # Below the single exchange there is the per-bucket aggregate.
         assert "HashAggregate" in plan.splitlines()[i + 1]
     assert "Python" not in plan
+
+
+@pytest.mark.parametrize("rows_per_bucket", [40, 150])
+def test_one_crowded_order_value_is_cut_on_the_next_column(spark, rows_per_bucket):
+    """Two thirds of all rows share one order value and one key."""
+    i = F.col("id")
+    df = spark.range(900).select(
+        F.when(i % 3 == 0, i).otherwise(500).alias("t"),
+        i.alias("seq"),
+        F.lit("hot").alias("k"),
+        ((i * 13) % 101).alias("v"),
+    ).cache()
+    cut = ordered.balanced(rows_per_bucket)
+    sizes = [r["count"] for r in cut(df, ["t", "seq"]).groupBy(ordered.BUCKET).count().collect()]
+    assert max(sizes) <= 2 * rows_per_bucket
+    w = Window.partitionBy("k").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("seq", F.sum("v").over(w).alias("s")).collect()
+    got = ordered.running(df, ["t", "seq"], {"s": Running("sum", "v")}, ["k"], cut)
+    assert sorted(map(tuple, got.select("seq", "s").collect())) == sorted(map(tuple, want))

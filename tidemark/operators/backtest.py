@@ -289,7 +289,6 @@ def same_weekday(
         ts,
         "y_pred",
         ["dow", "hod"],
-        cut=ordered.width(365 * ordered.DAY_MICROS),
     ).drop("dow", "hod")
 
 

@@ -19,6 +19,7 @@ column, so that a burst in time or one hot key is still cut in even pieces.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -36,7 +37,10 @@ DEFAULT_WIDTH_MICROS = 30 * DAY_MICROS
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 65_536
 
-BucketCut = Callable[[DataFrame, str], DataFrame]
+# Pieces one crowded order value may be cut into.
+MAX_TIE_PIECES = 512
+
+BucketCut = Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
 def order_number(df: DataFrame, column: str) -> Column:
@@ -54,8 +58,8 @@ def order_number(df: DataFrame, column: str) -> Column:
 def width(size: int = DEFAULT_WIDTH_MICROS) -> BucketCut:
     """Equal-width buckets: ``size`` microseconds (or units of an integer order)."""
 
-    def cut(df: DataFrame, order: str) -> DataFrame:
-        return df.withColumn(BUCKET, F.floor(order_number(df, order) / F.lit(size)))
+    def cut(df: DataFrame, order: Sequence[str]) -> DataFrame:
+        return df.withColumn(BUCKET, F.floor(order_number(df, order[0]) / F.lit(size)))
 
     return cut
 
@@ -74,8 +78,8 @@ def balanced(
     scan below an aggregate (parquet counts come from the footers).
     """
 
-    def cut(df: DataFrame, order: str) -> DataFrame:
-        number = order_number(df, order).cast("double")
+    def cut(df: DataFrame, order: Sequence[str]) -> DataFrame:
+        number = order_number(df, order[0]).cast("double")
         rows = (df if at_most is None else at_most).count()
         buckets = min(max_buckets, -(-rows // rows_per_bucket))
         if buckets <= 1:
@@ -84,14 +88,54 @@ def balanced(
         splits = df.select(number.alias("v")).approxQuantile(
             "v", probabilities, 1.0 / (4 * buckets)
         )
-        edges = [float("-inf"), *sorted(set(splits)), float("inf")]
-        cutter = Bucketizer(splits=edges, inputCol="__order", outputCol=BUCKET)
-        placed = cutter.transform(df.withColumn("__order", number)).drop("__order")
-        return placed.withColumn(BUCKET, F.col(BUCKET).cast("long"))
+        repeats = Counter(splits)
+        crowded = [v for v, n in repeats.items() if n > 1]
+        # Order values are whole numbers, so [v, v + 1) holds one crowded value only.
+        inner = sorted({*splits, *(v + 1 for v in crowded)})
+        cutter = Bucketizer(
+            splits=[float("-inf"), *inner, float("inf")], inputCol="__order", outputCol=BUCKET
+        )
+        placed = cutter.transform(df.withColumn("__order", number))
+        placed = placed.withColumn(BUCKET, F.col(BUCKET).cast("long"))
+        if crowded and len(order) > 1 and _countable(df, order[1]):
+            pieces = min(MAX_TIE_PIECES, 2 * max(repeats[v] for v in crowded))
+            placed = _cut_ties(placed, order[1], crowded, pieces)
+        return placed.drop("__order")
 
     return cut
 
 
+def _countable(df: DataFrame, column: str) -> bool:
+    kind = df.schema[column].dataType
+    return isinstance(kind, (T.TimestampType, T.DateType, T.IntegralType))
+
+
+def _cut_ties(placed: DataFrame, tie: str, crowded: list[float], pieces: int) -> DataFrame:
+    """Cut the buckets of crowded order values by quantiles of the next order column."""
+    probabilities = F.array(*(F.lit(i / pieces) for i in range(1, pieces)))
+    edges = (
+        placed.filter(F.col("__order").isin(crowded))
+        .groupBy(F.col("__order"))
+        .agg(
+            F.percentile_approx(
+                order_number(placed, tie), probabilities, F.lit(20 * pieces)
+            ).alias("__edges")
+        )
+    )
+    piece = F.size(F.filter("__edges", lambda e: e <= order_number(placed, tie)))
+    return (
+        placed.join(edges, "__order", "left")
+        .withColumn(
+            BUCKET,
+            F.struct(
+                F.col(BUCKET).alias("at"),
+                F.when(F.col("__edges").isNull(), 0).otherwise(piece).alias("piece"),
+            ),
+        )
+        .drop("__edges")
+    )
+
+
 @dataclass(frozen=True)
 class Running:
     """One running value: its kind and the column it runs over."""
@@ -160,11 +204,12 @@ def running(
     """Running values up to each row, per key, with or without the row itself.
 
     ``order`` names the order column and further columns that break ties;
-    together they must be unique within a key.
+    together they must be unique within a key. Buckets are cut on the first one,
+    and ``balanced`` cuts a crowded value of it further on the second.
     """
     order = [order] if isinstance(order, str) else list(order)
     keys = list(keys)
-    placed = (cut or width())(guard_keys(df, keys), order[0])
+    placed = (cut or balanced())(guard_keys(df, keys), order)
     cut_up = BUCKET in placed.columns
     group = [*keys, BUCKET] if cut_up else keys
     inside = (
@@ -233,7 +278,7 @@ def following(
 ) -> DataFrame:
     """The column's value on the next row of the key; null on the last row."""
     keys = list(keys)
-    placed = (cut or balanced())(guard_keys(df, keys), order)
+    placed = (cut or balanced())(guard_keys(df, keys), [order])
     if BUCKET not in placed.columns:
         whole = Window.partitionBy(*keys).orderBy(order)
         return placed.select(*df.columns, F.lead(column).over(whole).alias(name))

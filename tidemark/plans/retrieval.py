@@ -22,14 +22,16 @@ def embed_corpus(
 ) -> tuple[DataFrame, bool]:
     """Vectors of the corpus from the cache, or built and cached."""
     spark = log.sparkSession
-    texts = log.select(
-        "revision_number", "mrid", textfn.composite_id().alias("id"),
-        textfn.embeddable_text().alias("text"),
+    texts = corpus_texts(log)
+    # Any fixed order will do for the fingerprint. A hash of the id has no ties
+    # to speak of, so its quantiles cut the corpus evenly.
+    placed = ordered.row_index(
+        texts.withColumn("__at", F.xxhash64("id")),
+        ["__at", "id"],
+        cut=ordered.balanced(at_most=log),
+        name="pos",
     )
-    positioned = ordered.row_index(
-        texts, ["revision_number", "mrid"], cut=ordered.balanced(), name="pos"
-    )
-    print_of = tables.corpus_fingerprint(positioned, "pos", "text").first()["fingerprint"]
+    print_of = tables.corpus_fingerprint(placed, "pos", "text").first()["fingerprint"]
 
     def build() -> DataFrame:
         embedded = texts.select("id", embedder.batch(F.col("text")).alias("vector"))

@@ -12,8 +12,12 @@ from tidemark.session import stage
 
 
 def prepare(features: DataFrame, ts: str = "timestamp_utc") -> DataFrame:
-    """Index the hourly table and stage it: every model reads it several times."""
-    return stage(ordered.row_index(features, ts))
+    """Index the hourly table and stage it: every model reads it several times.
+
+    The table is staged before it is put in order as well, so that what lies
+    below it runs once.
+    """
+    return stage(ordered.row_index(stage(features), ts))
 
 
 def train_and_register(

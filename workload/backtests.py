@@ -28,7 +28,7 @@ FROM (SELECT unnest(generate_series(0, CAST(floor((n - {s.test_len} - {s.min_tra
 
 
 def frame(spark, sf):
-    return stage(ordered.row_index(roles.hourly(spark, sf), "timestamp_utc"))
+    return training.prepare(roles.hourly(spark, sf))
 
 
 @query("fold_plan_expanding", f"WITH {_IX}, {_folds(SPLIT)} SELECT fold_index, CAST(a AS BIGINT) AS train_start, b AS train_end, c AS test_start, d AS test_end FROM folds")
@@ -272,7 +272,7 @@ def hinge_slopes(spark, sf):
 
 
 def feature_frame(spark, sf):
-    return stage(ordered.row_index(roles.feature_rows(spark, sf), "timestamp_utc"))
+    return training.prepare(roles.feature_rows(spark, sf))
 
 
 _FIX = f"{FEATURES}, ix AS (SELECT *, row_number() OVER (ORDER BY timestamp_utc) - 1 AS ix FROM features), n AS (SELECT count(*) AS n FROM ix)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import backtest, ordered
 from tidemark.operators.ordered import Running
 from tidemark.session import stage
+from tidemark.plans import training
 from workload import query, roles
 from workload.roles import HOURLY, ntz, rounded
 
@@ -43,7 +44,7 @@ def running_values(spark, sf):
         "last_third": Running("last", "third"),
     }
     out = ordered.running(
-        events, ["ts", "event_id"], values, ["event_type"], ordered.width(ordered.DAY_MICROS)
+        events, ["ts", "event_id"], values, ["event_type"]
     )
     return out.select("event_id", *values)
 
@@ -121,7 +122,7 @@ def fixed_lag_lookup(spark, sf):
 SELECT ix, nd_mw, list([CAST(nd_mw AS FLOAT), CAST(tsd_mw AS FLOAT)]) OVER (ORDER BY ix ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS win FROM ix) WHERE len(win) = 6""",
 )
 def sequence_windows(spark, sf):
-    series = stage(ordered.row_index(roles.hourly(spark, sf), "timestamp_utc"))
+    series = training.prepare(roles.hourly(spark, sf))
     return ordered.sequence_windows(series, ["nd_mw", "tsd_mw"], "nd_mw", 6)
 
 

@@ -8,6 +8,7 @@ from tidemark import schemas
 from tidemark.functions import timefn
 from tidemark.operators import checks, diagnose, ordered, regress, resample
 from tidemark.plans import features as plans
+from tidemark.plans import training
 from tidemark.session import stage
 from workload import query, roles
 from workload.roles import FEATURES, HALF_HOURLY, HOURLY, NATIONAL, ORDER_HOLIDAYS, ORDER_HOURS, ntz, rounded
@@ -383,7 +384,7 @@ def temperature_response_curve(spark, sf):
 
 def indexed(spark, sf):
     """The hourly demand series with its row position, staged once."""
-    return stage(ordered.row_index(roles.hourly(spark, sf), "timestamp_utc"))
+    return training.prepare(roles.hourly(spark, sf))
 
 
 _IX = f"WITH {HOURLY}, ix AS (SELECT *, row_number() OVER (ORDER BY timestamp_utc) - 1 AS ix FROM hourly)"
