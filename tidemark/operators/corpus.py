@@ -24,6 +24,8 @@ PRETOKEN_PATTERN = (
 # Two neighbours of a fenced word. Only one bar is consumed, so that the right
 # symbol is seen again as the left one of the next pair.
 NEIGHBOURS = r"(?=\|([0-9A-F]+\|\|[0-9A-F]+)\|)\|"
+# Distinct pre-tokens per partition of the merge table.
+WORDS_PER_PART = 250_000
 
 
 def profile(pieces: DataFrame, text: str = "text") -> DataFrame:
@@ -95,18 +97,15 @@ def pretoken_counts(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def words_table(counts: DataFrame) -> DataFrame:
+def words_table(counts: DataFrame, parts: int | None = None) -> DataFrame:
     """Distinct pre-tokens as fenced byte symbols with their frequency.
 
     The table is short in bytes but every pass over it is computation, so it is
     spread over all cores instead of being packed into few partitions by size.
     """
-    spark = counts.sparkSession
-    parts = max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
+    cores = counts.sparkSession.sparkContext.defaultParallelism
     words = counts.select(textfn.fenced_bytes(F.col("token")).alias("word"), "freq")
-    return words.repartition(parts)
+    return words.repartition(max(cores, parts or 0))
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
@@ -183,7 +182,8 @@ def train_merges(
     head. Words are rewritten by expressions and written to the shared folder
     every few passes, so lineage stays short.
     """
-    words = stage(words_table(counts))
+    counts = stage(counts)
+    words = stage(words_table(counts, counts.count() // WORDS_PER_PART))
     total = token_total(words).first()["total"]
     out = Merges(total_before=total)
     passes = 0
