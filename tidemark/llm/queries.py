@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import near
+from tidemark.llm import exact, mix, near, pack
 from tidemark.session import ensure_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_minhash_near_dedup")
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query(
+    "op8_exact_dedup",
+    r"""
+    SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+           doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+    FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+    WINDOW g AS (PARTITION BY t)
+    """,
+)
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return exact.exact_duplicates(docs, exact.midpoint(docs))
+
+
+@query("op2_mix_sources")
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
+
+
+@query("op5_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pack_documents(table(spark, sf_dir, "documents"))
