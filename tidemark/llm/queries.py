@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact, mix, near, pack, tokens
+from tidemark.llm import exact, mix, near, pack, spans, tokens
 from tidemark.session import ensure_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op9_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeated_spans(table(spark, sf_dir, "documents"))
