@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact, mix, near, pack, spans, tokens
+from tidemark.llm import codes, exact, mix, near, pack, spans, tokens
 from tidemark.session import ensure_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_substring_dedup")
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op7_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)

@@ -281,7 +281,8 @@ def shared_windows(work: DataFrame, table: np.ndarray) -> DataFrame:
         run, "window long, doc_id long, class long, start int"
     )
     owners = found.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    owners = owners.where("owner < last").select("window", "owner")
+    # Staged, so that both sides of the join are shuffled and a very common window can be split.
+    owners = staged(owners.where("owner < last").select("window", "owner"), "owners")
     return found.select("window", "class", "start").join(owners, "window").select("class", "start", "owner")
 
 
