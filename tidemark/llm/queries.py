@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import codes, exact, mix, near, pack, spans, tokens
+from tidemark.llm import codes, exact, html, langid, mix, near, pack, spans, tokens
 from tidemark.session import ensure_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,17 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_embedding_near_dedup")
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+@query("op6_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, whose host is their source, and pages, which have all the evidence."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train_text_model(docs.select("doc_id", "text", "lang"))
+    pages = langid.page_evidence(table(spark, sf_dir, "pages"), model.languages)
+    return langid.identify(langid.document_evidence(docs).union(pages), model, ["doc_id", "page_id"])
+
+
+@query("op10_html_main_text")
+def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
