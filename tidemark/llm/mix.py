@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.frames import staged
+from tidemark.llm.frames import small_join, staged
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -209,3 +209,16 @@ def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
         (F.col("copies") + F.col("more")).alias("repeats"),
     ]
     return one_more.select(*columns).union(all_or_none.select(*columns))
+
+
+def take_mix(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it is repeated, with all their columns.
+
+    Rows that share an id, or have none, are taken as often as the one of them taken most.
+    """
+    mixed = mix_sources(docs, seed)
+    taken = mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.max("repeats").alias("__repeats"))
+    taken = staged(taken.where("__repeats > 0"), "taken")
+    joined = small_join(docs, taken, docs["doc_id"].eqNullSafe(taken["__id"]), "inner", 24)
+    copies = F.explode(F.array_repeat(F.lit(True), F.col("__repeats").cast("int")))
+    return joined.withColumn("__copy", copies).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import codes, exact, html, langid, mix, near, pack, spans, tokens
+from tidemark.llm import codes, exact, html, langid, mix, near, pack, quality, spans, tokens
 from tidemark.session import ensure_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_main_text")
 def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op3_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
