@@ -40,7 +40,8 @@ SET_BLOCK_SHINGLES = 2 << 20
 
 def bands_for(percent: int) -> int:
     """Bands needed so that a pair at the threshold is missed with a chance of ``MISS`` at most."""
-    return math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS_PER_BAND)))
+    agree = min(percent / 100, 0.999) ** ROWS_PER_BAND
+    return math.ceil(math.log(MISS) / math.log1p(-agree))
 
 
 def most_odd_bits(samples: int, percent: int) -> int:
