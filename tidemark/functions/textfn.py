@@ -36,17 +36,85 @@ def hash_prefix(text: Column, chars: int = 12) -> Column:
 
 
 def feature_hash(columns: Sequence[str]) -> Column:
-    """First 16 hex digits of the SHA-256 of the key-sorted JSON object."""
+    """First 16 hex digits of the SHA-256 of the canonical JSON object.
+
+    Canonical is what Python's ``json.dumps`` gives with sorted keys: shortest
+    numbers, ``\\u`` escapes beyond ASCII, ", " and ": " between parts.
+    """
     parts = []
     for name in sorted(columns):
-        wrapped = F.to_json(F.struct(F.col(name).alias("v")), {"ignoreNullFields": "false"})
-        parts.append(F.concat(F.lit(f'"{name}": '), _json_value(wrapped)))
+        parts.append(F.concat(json_text(F.lit(name)), F.lit(": "), json_value(F.col(name))))
     body = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
     return hash_prefix(body, 16)
 
 
-def _json_value(wrapped: Column) -> Column:
-    return F.regexp_extract(wrapped, r'^\{"v":(.*)\}$', 1)
+def json_value(value: Column) -> Column:
+    """A scalar as canonical JSON. A float is written with its own shortest digits."""
+    kind = F.typeof(value)
+    # A runtime's own text may carry a digit more than needed; fewer digits that read back win.
+    text = value.cast("string")
+    for digits in (16, 15):
+        shorter = F.format_string(f"%.{digits}e", value.cast("double"))
+        text = F.when(
+            (kind == "double") & (shorter.try_cast("double") == value.cast("double")), shorter
+        ).otherwise(text)
+    number = json_number(text)
+    return (
+        F.when(value.isNull(), F.lit("null"))
+        .when(kind == "string", json_text(value.cast("string")))
+        .when(kind.isin("double", "float"), number)
+        .when(kind.isin("boolean", "tinyint", "smallint", "int", "bigint"), value.cast("string"))
+        .otherwise(json_text(value.cast("string")))
+    )
+
+
+def json_number(shortest: Column) -> Column:
+    """Spark's shortest text of a double (``1.0E-4``, ``12.5``) as JSON has it (``0.0001``, ``12.5``).
+
+    Plain digits from 1e-4 up to 1e16, and an exponent of two digits or more beyond.
+    """
+    sign = F.regexp_extract(shortest, r"^(-?)", 1)
+    exponent = F.coalesce(F.try_element_at(F.split(shortest, "[Ee]"), F.lit(2)).cast("int"), F.lit(0))
+    mantissa = F.regexp_replace(F.element_at(F.split(shortest, "[Ee]"), 1), "^-", "")
+    whole, part = F.element_at(F.split(mantissa, r"\."), 1), F.element_at(F.split(mantissa, r"\."), 2)
+    part = F.regexp_replace(part, "0+$", "")
+    digits = F.concat(whole, part)
+    # The point stands after this many digits.
+    point = F.length(whole) + exponent
+    fraction = F.substr(digits, point + 1)
+    plain = (
+        F.when(
+            point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+        )
+        .when(point >= F.length(digits), F.concat(digits, F.repeat(F.lit("0"), point - F.length(digits)), F.lit(".0")))
+        .otherwise(F.concat(F.substr(digits, F.lit(1), point), F.lit("."), fraction))
+    )
+    small = F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+"))
+    scientific = F.concat(
+        whole, F.when(part != "", F.concat(F.lit("."), part)).otherwise(F.lit("")), F.lit("e"), small,
+        F.when(F.abs(exponent) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(exponent).cast("string"),
+    )
+    special = F.element_at(
+        F.create_map(*(F.lit(x) for x in ("NaN", "NaN", "Infinity", "Infinity", "-Infinity", "-Infinity"))), shortest
+    )
+    text = F.when((exponent >= -4) & (exponent < 16), plain).otherwise(scientific)
+    return F.coalesce(special, F.concat(sign, text))
+
+
+def json_text(text: Column) -> Column:
+    """A JSON string; everything outside printable ASCII is escaped by UTF-16 unit."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), 1)
+    named = {"0022": '\\"', "005C": "\\\\", "0008": "\\b", "0009": "\\t", "000A": "\\n", "000C": "\\f", "000D": "\\r"}
+
+    def unit(u: Column) -> Column:
+        out = F.when((u >= "0020") & (u < "007F"), F.char(F.conv(u, 16, 10).cast("bigint"))).otherwise(
+            F.concat(F.lit("\\u"), F.lower(u))
+        )
+        for code, escape in named.items():
+            out = F.when(u == code, F.lit(escape)).otherwise(out)
+        return out
+
+    return F.concat(F.lit('"'), F.array_join(F.transform(units, unit), ""), F.lit('"'))
 
 
 def utf8_bytes(text: Column | str) -> Column:

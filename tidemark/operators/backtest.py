@@ -311,14 +311,15 @@ def predictions(
     """Long predictions of all folds.
 
     ``frame`` carries ``ix`` (``ordered.row_index``); stage it when it is
-    costly, because the fit and the test side both read it.
+    costly, because the fit and the test side both read it. Every test row of
+    every fold is there; ``y_pred`` is null where the model has no prediction.
     """
     folds = split.folds(count_rows(frame) if n_rows is None else n_rows)
     predicted = model.predict_folds(frame, split, folds, ts, target)
     tests = test_rows(frame, split, folds).select(
         "fold_index", "ix", "horizon_h", ts, F.col(target).cast("double").alias("y_true")
     )
-    joined = tests.join(predicted, ["fold_index", "ix"], "inner")
+    joined = tests.join(predicted, ["fold_index", "ix"], "left")
     spans = tests.groupBy("fold_index").agg(
         F.min(ts).alias("test_start"), F.max(ts).alias("test_end")
     )
@@ -341,13 +342,21 @@ def fold_metrics(
     names: Sequence[str] = ("mae", "mape", "rmse", "wape"),
     ts: str = "timestamp_utc",
 ) -> DataFrame:
-    """Metrics per fold with the fold's edges."""
+    """Metrics per fold with the fold's edges, one row for every fold.
+
+    A fold without any prediction, because its training rows give no fit, is an
+    error that names it.
+    """
     y, p = F.col("y_true"), F.col("y_pred")
+    lost = F.concat(F.lit("no prediction in fold "), F.col("fold_index").cast("string"))
     per_fold = predicted.groupBy("fold_index").agg(
+        F.count(p).alias("__predicted"),
         F.min("test_start").alias("test_start"),
         F.max("test_end").alias("test_end"),
         *(m(y, p).alias(n) for n, m in metric_fns.resolve(names).items()),
     )
+    start = F.when(F.col("__predicted") > 0, F.col("test_start")).otherwise(F.raise_error(lost))
+    per_fold = per_fold.withColumn("test_start", start)
     offset = F.col("ix") + 1 - split.min_train
     ends = frame.filter((offset >= 0) & (F.pmod(offset, F.lit(split.step)) == 0)).select(
         F.floor(offset / F.lit(split.step)).alias("fold_index"), F.col(ts).alias("train_end")

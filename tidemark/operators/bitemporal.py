@@ -17,7 +17,6 @@ from tidemark import schemas
 from tidemark.functions import timefn
 from tidemark.operators import ordered
 from tidemark.operators.ordered import BucketCut, Running
-from tidemark.session import stage
 from tidemark.sources.contracts import ContractError, require_instants
 
 WITHDRAWN = "Withdrawn"
@@ -173,7 +172,7 @@ def revision_validity(log: DataFrame, cut: BucketCut | None = None) -> DataFrame
         "published_at",
         "__next",
         ["mrid"],
-        cut or ordered.balanced(at_most=log),
+        cut or ordered.balanced(),
     )
     joined = log.join(nexts, ["mrid", "published_at"], "left")
     ends = F.when(F.col("revision_number") < F.col("__top"), F.col("published_at")).otherwise(
@@ -284,9 +283,9 @@ def outage_rollup(
         F.sum("soon").alias("soon"),
         F.max("on_grid").alias("on_grid"),
     )
-    # As long as the calendar; staged, so that the log is read once.
+    # As long as the calendar.
     summed = ordered.running(
-        stage(per_hour),
+        per_hour,
         ts,
         {
             "total_now": Running("sum", "total"),

@@ -168,16 +168,9 @@ def ablation(
 def capped_sample(df: DataFrame, key: str, rows: int = 20_000, seed: int = 0) -> DataFrame:
     """A seeded sample of at most ``rows`` rows: those with the smallest key hash.
 
-    This is the sampling operator itself; the row limit is its purpose. Hashes
-    beyond a threshold that about ``rows`` of them stay under are dropped first,
-    so the final top-n does not gather ``rows`` from every partition. Should too
-    few stay under it, the whole table is ranked.
+    This is the sampling operator itself; the row limit is its purpose. A
+    partition passes on at most ``rows`` rows, and the sample comes back in the
+    order of its key.
     """
     drawn = df.withColumn("__h", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key)), 256))
-    total = df.count()
-    if total > rows:
-        share = min(1.0, (rows + 10 * rows**0.5 + 100) / total)
-        near = drawn.filter(F.col("__h") < f"{int(share * 16**12):012x}") if share < 1 else drawn
-        if share < 1 and near.count() >= rows:
-            drawn = near
-    return drawn.orderBy("__h").limit(rows).drop("__h")
+    return drawn.orderBy("__h").limit(rows).drop("__h").orderBy(key)

@@ -71,11 +71,27 @@ class LabelExtractor:
         return joined.select(*KEY, *columns)
 
 
+def _answers(answer: Callable[[Sequence[str]], list[dict | None]], texts: list[str]) -> list[dict | None]:
+    """One answer for each text; a failure costs the texts that cause it only."""
+    try:
+        results = list(answer(texts))
+    except Exception:  # noqa: BLE001 - the surface never raises
+        results = None
+    if results is not None and len(results) == len(texts):
+        return results
+    if len(texts) <= 1:
+        return [None] * len(texts)
+    half = len(texts) // 2
+    return _answers(answer, texts[:half]) + _answers(answer, texts[half:])
+
+
 class ModelExtractor:
     """A user's model behind an iterator Pandas UDF.
 
     ``load`` returns a function from a batch of message texts to a list of
-    dicts (or None). A failing batch or a None answer becomes the default row.
+    dicts (or None). Where a batch fails, or its answers do not match its texts
+    one to one, each half is asked on its own, down to single texts; only a text
+    that fails alone, or is answered None, becomes the default row.
     """
 
     def __init__(
@@ -91,10 +107,7 @@ class ModelExtractor:
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             answer = load()
             for texts in batches:
-                try:
-                    results = answer(texts.tolist())
-                except Exception:  # noqa: BLE001 - the surface never raises
-                    results = [None] * len(texts)
+                results = _answers(answer, texts.tolist())
                 rows = [
                     {**dict.fromkeys(fields), **(r or {}), "model_id": model_id if r else None}
                     for r in results
@@ -126,10 +139,14 @@ def extracted_table(log: DataFrame, extractor: Extractor, extracted_at: Column)
 
 
 def compare(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """One row per (message, field) with exact and tolerant agreement."""
+    """One row per (label, field) with exact and tolerant agreement.
+
+    A label whose message has no answer is compared with nulls, so every label
+    counts.
+    """
     joined = expected.select(
         *KEY, *(F.col(f).alias(f"e_{f}") for f in FIELDS)
-    ).join(actual.select(*KEY, *(F.col(f).alias(f"a_{f}") for f in FIELDS)), list(KEY), "inner")
+    ).join(actual.select(*KEY, *(F.col(f).alias(f"a_{f}") for f in FIELDS)), list(KEY), "left")
 
     def number(side: str, field: str) -> Column:
         c = F.col(f"{side}_{field}")

@@ -10,8 +10,8 @@ cut into buckets:
    small as the number of buckets);
 3. the carry of the earlier buckets joins back on (key, bucket).
 
-How the buckets are cut is a parameter, a function that adds the bucket column
-(or leaves it out when it has counted that one bucket is enough). ``width`` is arithmetic and lazy: right
+How the buckets are cut is a parameter, a function that adds the bucket column;
+the path is the same at every size. ``width`` is arithmetic and lazy: right
 where the order values are unique on a grid (hourly tables), because the width
 then bounds the rows of a bucket. ``balanced`` takes quantiles of the order
 column, so that a burst in time or one hot key is still cut in even pieces.
@@ -28,17 +28,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import stage
+from tidemark.session import stage_table
 
 BUCKET = "__bucket"
 DAY_MICROS = 86_400_000_000
 # 30 days of an hourly series: 720 rows per key.
 DEFAULT_WIDTH_MICROS = 30 * DAY_MICROS
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 65_536
-
-# Pieces one crowded order value may be cut into.
-MAX_TIE_PIECES = 512
+LEAST_BUCKETS = 8
 
 BucketCut = Callable[[DataFrame, Sequence[str]], DataFrame]
 
@@ -65,29 +62,27 @@ def width(size: int = DEFAULT_WIDTH_MICROS) -> BucketCut:
 
 
 def balanced(
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    max_buckets: int = MAX_BUCKETS,
-    at_most: DataFrame | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET, least_buckets: int = LEAST_BUCKETS
 ) -> BucketCut:
     """Equal-depth buckets from the quantiles of the order column.
 
-    Costs one count, and a pass for the quantiles when there is more than one
-    bucket. Cutting is a binary search per row. A table counted to fit one
-    bucket is left uncut, and the operators then use a plain window. ``at_most``
-    is a frame with at least as many rows that is cheaper to count, such as the
-    scan below an aggregate (parquet counts come from the footers).
+    The rows are staged first, so that the count, the quantiles and both halves
+    of the ordered operation read them from there and not from their sources.
+    There are ``least_buckets`` at any size, and more where a bucket would
+    exceed ``rows_per_bucket``. All edges are fixed once, as literals or in a
+    staged table: a task that runs again cuts as before.
     """
 
     def cut(df: DataFrame, order: Sequence[str]) -> DataFrame:
+        df = stage_table(df, "ordered")
         number = order_number(df, order[0]).cast("double")
-        rows = (df if at_most is None else at_most).count()
-        buckets = min(max_buckets, -(-rows // rows_per_bucket))
-        if buckets <= 1:
-            return df
+        buckets = max(least_buckets, -(-df.count() // rows_per_bucket), 2)
         probabilities = [i / buckets for i in range(1, buckets)]
         splits = df.select(number.alias("v")).approxQuantile(
             "v", probabilities, 1.0 / (4 * buckets)
         )
+        if not splits:  # no rows
+            return df.withColumn(BUCKET, F.lit(0).cast("long"))
         repeats = Counter(splits)
         crowded = [v for v, n in repeats.items() if n > 1]
         # Order values are whole numbers, so [v, v + 1) holds one crowded value only.
@@ -98,8 +93,7 @@ def balanced(
         placed = cutter.transform(df.withColumn("__order", number))
         placed = placed.withColumn(BUCKET, F.col(BUCKET).cast("long"))
         if crowded and len(order) > 1 and _countable(df, order[1]):
-            pieces = min(MAX_TIE_PIECES, 2 * max(repeats[v] for v in crowded))
-            placed = _cut_ties(placed, order[1], crowded, pieces)
+            placed = _cut_ties(placed, order[1], crowded, 2 * max(repeats[v] for v in crowded))
         return placed.drop("__order")
 
     return cut
@@ -122,6 +116,8 @@ def _cut_ties(placed: DataFrame, tie: str, crowded: list[float], pieces: int) ->
             ).alias("__edges")
         )
     )
+    # The sketch depends on the order of merges; staged, it is taken once.
+    edges = stage_table(edges, "edges")
     piece = F.size(F.filter("__edges", lambda e: e <= order_number(placed, tie)))
     return (
         placed.join(edges, "__order", "left")
@@ -210,8 +206,7 @@ def running(
     order = [order] if isinstance(order, str) else list(order)
     keys = list(keys)
     placed = (cut or balanced())(guard_keys(df, keys), order)
-    cut_up = BUCKET in placed.columns
-    group = [*keys, BUCKET] if cut_up else keys
+    group = [*keys, BUCKET]
     inside = (
         Window.partitionBy(*group)
         .orderBy(*order)
@@ -220,12 +215,6 @@ def running(
     local = placed.select(
         "*", *(v.over(inside).alias(f"__l_{name}") for name, v in values.items())
     )
-    if not cut_up:
-        none = F.lit(None)
-        return local.select(
-            *(c for c in df.columns if c not in values),
-            *(v.combine(none, F.col(f"__l_{name}")).alias(name) for name, v in values.items()),
-        )
     position = F.struct(*order) if len(order) > 1 else F.col(order[0])
     summaries = placed.groupBy(*group).agg(
         *(v.summary(position).alias(f"__s_{name}") for name, v in values.items())
@@ -279,9 +268,6 @@ def following(
     """The column's value on the next row of the key; null on the last row."""
     keys = list(keys)
     placed = (cut or balanced())(guard_keys(df, keys), [order])
-    if BUCKET not in placed.columns:
-        whole = Window.partitionBy(*keys).orderBy(order)
-        return placed.select(*df.columns, F.lead(column).over(whole).alias(name))
     group = [*keys, BUCKET]
     inside = Window.partitionBy(*group).orderBy(order)
     local = placed.withColumn("__next", F.lead(F.struct(column)).over(inside))
@@ -442,8 +428,7 @@ def running_total(
     per_instant = deltas.groupBy(*keys, F.col("e.t").alias("t")).agg(
         F.sum("e.delta").alias("delta")
     )
-    # Staged, because the ordered part reads it twice and the intervals once is enough.
-    return running(stage(per_instant), "t", {"total": Running("sum", "delta")}, keys, cut or balanced())
+    return running(per_instant, "t", {"total": Running("sum", "delta")}, keys, cut or balanced())
 
 
 def step_lookup(
@@ -463,17 +448,14 @@ def step_lookup(
     extra = [c for c in grid.columns if c not in (*keys, order)]
     wrapped = F.struct(F.col(value)).alias("__step")
     step_rows = steps.select(*keys, order, F.lit(0).alias("__side"), wrapped)
-    grid_rows = grid.select(
-        *keys,
-        order,
-        F.lit(1).alias("__side"),
-        F.struct(*(extra or [F.lit(None).cast("int").alias("none")])).alias("__row"),
-    )
-    both = step_rows.unionByName(grid_rows, allowMissingColumns=True)
+    # Many grid rows may share an instant: each instant is asked once and joined back.
+    asked = grid.select(*keys, order).distinct().withColumn("__side", F.lit(1))
+    both = step_rows.unionByName(asked, allowMissingColumns=True)
     found = running(both, [order, "__side"], {"__hit": Running("last", "__step")}, keys, cut)
+    answers = found.filter(F.col("__side") == 1).select(*keys, order, "__hit")
     hit = F.col("__hit")[value]
     if default is not None:
         hit = F.coalesce(hit, F.lit(default))
-    return found.filter(F.col("__side") == 1).select(
-        *keys, order, *(F.col("__row")[c].alias(c) for c in extra), hit.alias(value)
+    return grid.join(answers, [*keys, order], "left").select(
+        *keys, order, *extra, hit.alias(value)
     )

@@ -157,8 +157,14 @@ def solve_packed(packed: Sequence[float], intercept: bool = True) -> tuple:
     return beta.tolist(), errors.tolist(), covariance.ravel().tolist(), r_squared, variance, n
 
 
+NO_FIT = (None, None, None, None, None, 0)
+
+
 def solve(sums: DataFrame, by: Sequence[str] = (), intercept: bool = True) -> DataFrame:
-    """Coefficients, standard errors, covariance, R2 per group of moments."""
+    """Coefficients, standard errors, covariance, R2 per group of moments.
+
+    A group without a complete row keeps its place: null results and ``n_obs`` 0.
+    """
     by = list(by)
     kinds = _fields(sums, by)
 
@@ -167,13 +173,16 @@ def solve(sums: DataFrame, by: Sequence[str] = (), intercept: bool = True) -> Da
             "coefficients", "std_errors", "covariance", "r_squared", "residual_variance", "n_obs",
         ]
         for batch in batches:
-            solved = [solve_packed(packed, intercept) for packed in batch["packed"]]
+            solved = [
+                solve_packed(packed, intercept) if packed is not None and packed[0] > 0 else NO_FIT
+                for packed in batch["packed"]
+            ]
             out = pd.DataFrame(solved, columns=names)
             for k in by:
                 out[k] = batch[k].to_numpy()
             yield out[[*by, *names]]
 
-    return sums.filter(F.get("packed", F.lit(0)) > 0).mapInPandas(fit, f"{kinds}{FIT_SCHEMA}")
+    return sums.mapInPandas(fit, f"{kinds}{FIT_SCHEMA}")
 
 
 def fit_ols(
@@ -204,9 +213,12 @@ def apply_fit(
     intercept: bool = True,
     name: str = "y_pred",
 ) -> DataFrame:
-    """Predictions. Without groups the single coefficient row is a scalar subquery."""
+    """Predictions. Without groups the single coefficient row is a scalar subquery.
+
+    Rows of a group without a fit are kept, with a null prediction.
+    """
     if by:
-        joined = df.join(fits.select(*by, F.col("coefficients").alias("__b")), list(by), "inner")
+        joined = df.join(fits.select(*by, F.col("coefficients").alias("__b")), list(by), "left")
         return joined.withColumn(name, dot(features, F.col("__b"), intercept)).drop("__b")
     beta = fits.select("coefficients").scalar()
     return df.withColumn(name, dot(features, beta, intercept))
@@ -271,6 +283,10 @@ def loss_weight(loss: str, residual: Column) -> Column:
     raise ValueError(f"unknown loss {loss!r}")
 
 
+class NotConverged(ValueError):
+    """A robust fit that has not settled within its passes."""
+
+
 def fit_robust(
     df: DataFrame,
     features: Sequence[str],
@@ -283,11 +299,14 @@ def fit_robust(
 
     Each pass is one aggregate over the rows; between passes only the
     coefficients (one number per design column) visit the driver, as literals
-    of the next pass, so lineage does not grow.
+    of the next pass, so lineage does not grow. Stopping short of convergence
+    is an error.
     """
     packed = moments(df, features, target)
     beta = solve_packed(packed.first()["packed"])[0]
-    for _ in range(iterations if loss != "linear" else 0):
+    if loss == "linear":
+        return solve(packed)
+    for _ in range(iterations):
         literal = F.array(*(F.lit(float(b)) for b in beta))
         residual = F.col(target).cast("double") - dot(features, literal)
         weighted = df.withColumn("__weight", loss_weight(loss, residual))
@@ -296,8 +315,8 @@ def fit_robust(
         change = max(abs(a - b) for a, b in zip(new, beta, strict=True))
         beta = new
         if change <= tolerance * max(1.0, max(abs(b) for b in new)):
-            break
-    return solve(packed)
+            return solve(packed)
+    raise NotConverged(f"{loss} fit still moves by {change:.3g} after {iterations} passes")
 
 
 def hinge_slopes(

@@ -7,13 +7,17 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import textfn
 
-# Query vectors scored in one pass over the corpus.
+# Question vectors of one block; up to one block of them goes to the tasks as it is.
 QUERIES_PER_PASS = 256
+# Corpus rows of one block, about, where both sides are dealt in blocks, and of a small corpus.
+CORPUS_BLOCK = 4096
+LEAST_BLOCK = 256
 # Scores equal to this many decimals are a tie, broken by id.
 SCORE_DECIMALS = 6
 
@@ -95,34 +99,49 @@ def add_to_index(index: DataFrame, more: DataFrame) -> DataFrame:
     return index.unionByName(more)
 
 
-def _score_batches(queries: np.ndarray, keys: list, k: int, id_type: pa.DataType, key_type):
-    norms = np.linalg.norm(queries, axis=1, keepdims=True)
-    unit = queries / np.where(norms == 0, 1.0, norms)
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(norms == 0, 1.0, norms)
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int | None = None) -> np.ndarray:
+    """Equal-length vectors as unit rows in double precision."""
+    flat = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype("float64")
+    rows = len(column)
+    matrix = flat.reshape(rows, -1) if rows and len(flat) % rows == 0 else np.zeros((0, 0))
+    if len(matrix) != rows or (width is not None and matrix.shape[1] != width):
+        raise DimensionMismatch(f"corpus {len(flat) / max(rows, 1):g}, query {width}")
+    return _unit(matrix)
+
+
+def _best(scores: np.ndarray, ids: pa.Array | pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and question of exactly the k best rows of each question: by score, ties by the smaller id."""
+    place = np.empty(len(scores), np.int64)
+    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(scores))
+    if len(scores) <= k:
+        rows, cols = np.indices(scores.shape)
+        return rows.ravel(), cols.ravel()
+    rows, cols = [], []
+    for q in range(scores.shape[1]):
+        s = scores[:, q]
+        edge = np.partition(s, len(s) - k)[len(s) - k]
+        above, level = np.flatnonzero(s > edge), np.flatnonzero(s == edge)
+        level = level[np.argsort(place[level])][: k - len(above)]
+        rows.append(np.append(above, level))
+        cols.append(np.full(k, q))
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def _score_batches(queries: np.ndarray, keys: list, k: int, key_type):
+    unit = _unit(queries)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            column = batch.column("vector")
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
-            matrix = flat.reshape(batch.num_rows, -1)
-            if matrix.shape[1] != unit.shape[1] or len(flat) != batch.num_rows * unit.shape[1]:
-                raise DimensionMismatch(f"corpus {matrix.shape[1]}, query {unit.shape[1]}")
-            lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-            matrix = matrix / np.where(lengths == 0, 1.0, lengths)
+            matrix = _matrix(batch.column("vector"), unit.shape[1])
             scores = np.round(matrix @ unit.T, SCORE_DECIMALS) + 0.0
-            rows, cols = [], []
-            for q in range(scores.shape[1]):
-                s = scores[:, q]
-                if len(s) > k:
-                    # Everything level with the k-th score stays: ties are cut by id later.
-                    edge = np.partition(s, len(s) - k)[len(s) - k]
-                    keep = np.nonzero(s >= edge)[0]
-                else:
-                    keep = np.arange(len(s))
-                rows.append(keep)
-                cols.append(np.full(len(keep), q))
-            r, c = np.concatenate(rows), np.concatenate(cols)
+            r, c = _best(scores, batch.column("id"), k)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([keys[i] for i in c], type=key_type),
@@ -135,6 +154,41 @@ def _score_batches(queries: np.ndarray, keys: list, k: int, id_type: pa.DataType
     return score
 
 
+def _score_blocks(corpus: DataFrame, asked: DataFrame, k: int, schema: str) -> DataFrame:
+    """The k best of each question in each block of the corpus, for any number of questions."""
+    spread = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, questions = corpus.count(), asked.count()
+    blocks = max(1, -(-rows // CORPUS_BLOCK), min(spread, -(-rows // LEAST_BLOCK)))
+    q_blocks = max(1, -(-questions // QUERIES_PER_PASS))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def own(column: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+    left = corpus.withColumn("__b", own("id", blocks)).withColumn("__q", every(q_blocks))
+    right = asked.withColumn("__q", own("query_id", q_blocks)).withColumn("__b", every(blocks))
+
+    def score(part: pa.Table, block: pa.Table) -> pa.Table:
+        if part.num_rows == 0 or block.num_rows == 0:
+            empty = [block.column("query_id")[:0], part.column("id")[:0], pa.array([], pa.float64())]
+            return pa.Table.from_arrays(empty, names=["query_id", "id", "score"])
+        unit = _matrix(block.column("vector"))
+        scores = np.round(_matrix(part.column("vector"), unit.shape[1]) @ unit.T, SCORE_DECIMALS) + 0.0
+        r, c = _best(scores, part.column("id"), k)
+        return pa.Table.from_arrays(
+            [
+                block.column("query_id").take(pa.array(c)),
+                part.column("id").take(pa.array(r)),
+                pa.array(scores[r, c]),
+            ],
+            names=["query_id", "id", "score"],
+        )
+
+    return left.groupBy("__b", "__q").cogroup(right.groupBy("__b", "__q")).applyInArrow(score, schema)
+
+
 def top_k(
     corpus: DataFrame,
     queries: DataFrame,
@@ -144,11 +198,12 @@ def top_k(
 ) -> DataFrame:
     """The k nearest corpus rows per query by cosine, with their rank.
 
-    ``corpus`` has ``id`` and ``vector``. The questions go to the tasks, a fixed
-    number per pass, and each Arrow batch of the corpus meets them as one matrix
-    product and keeps its own best k. What is shuffled is k rows per batch and
-    query; the corpus itself never moves. k is clipped to the corpus, a zero
-    vector scores 0, and ties go to the smaller id.
+    ``corpus`` has ``id`` and ``vector``. Up to ``QUERIES_PER_PASS`` questions go
+    to the tasks, and the corpus stays where it is; more are dealt in blocks to
+    the executors, where each block of the corpus meets each block of questions.
+    Either way a block is one matrix product that passes on exactly k rows for
+    each question. k is clipped to the corpus, a zero vector scores 0, and ties
+    go to the smaller id.
     """
     if k < 0:
         raise ValueError(f"k must be >= 0, got {k}")
@@ -157,30 +212,17 @@ def top_k(
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = f"query_id {key_kind.simpleString()}, id {id_kind.simpleString()}, score double"
-    if k == 0:
-        return corpus.sparkSession.createDataFrame([], f"{schema}, rank int")
-    parts = None
-    chunk: list = []
-
-    def add_pass(rows: list) -> None:
-        nonlocal parts
-        matrix = np.array([list(r[1]) for r in rows], dtype="float64")
-        score = _score_batches(
-            matrix, [r[0] for r in rows], k, to_arrow_type(id_kind), to_arrow_type(key_kind)
-        )
-        found = corpus.select("id", "vector").mapInArrow(score, schema)
-        parts = found if parts is None else parts.unionByName(found)
-
-    # The questions are read one partition at a time, never all at once.
-    for row in queries.select(query_id, query_vector).toLocalIterator():
-        chunk.append(row)
-        if len(chunk) == QUERIES_PER_PASS:
-            add_pass(chunk)
-            chunk = []
-    if chunk:
-        add_pass(chunk)
-    if parts is None:
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector"))
+    rows = asked.limit(QUERIES_PER_PASS + 1).collect() if k else []
+    if not rows:
         return corpus.sparkSession.createDataFrame([], f"{schema}, rank int")
+    if len(rows) <= QUERIES_PER_PASS:
+        matrix = np.array([list(r["vector"]) for r in rows], dtype="float64")
+        keys = [r["query_id"] for r in rows]
+        score = _score_batches(matrix, keys, k, to_arrow_type(key_kind))
+        parts = corpus.select("id", "vector").mapInArrow(score, schema)
+    else:
+        parts = _score_blocks(corpus.select("id", "vector"), asked, k, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return parts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

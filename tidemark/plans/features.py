@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions import timefn
 from tidemark.operators import bitemporal, ordered, resample
-from tidemark.session import stage
 from tidemark.sources.contracts import cast_to_contract, require_instants
 from tidemark.sources.tables import provenance
 
@@ -26,14 +25,14 @@ def join_and_fill(
 
     Both inputs hold one row per hour, as the hourly operators give them. The
     fill runs over rows of the joined table and never creates hours. The joined
-    table is as long as the calendar, whatever the raw feeds weigh; it is staged
-    here, so that the ordered steps do not scan the feeds again.
+    table is as long as the calendar, whatever the raw feeds weigh; the ordered
+    step stages it, so that the feeds are scanned once.
     """
     weather_columns = list(schemas.WEATHER_COLUMNS)
     demand = demand_hourly.dropna(subset=list(schemas.DEMAND_COLUMNS))
     joined = demand.join(weather_national.select(TS, *weather_columns), TS, "inner")
     if fill_limit > 0:
-        indexed = ordered.row_index(stage(joined), TS, cut=ordered.balanced())
+        indexed = ordered.row_index(joined, TS, cut=ordered.balanced())
         joined = ordered.bounded_fill(indexed, weather_columns, fill_limit).drop("ix")
     return joined.dropna(subset=weather_columns)
 

@@ -26,12 +26,11 @@ def embed_corpus(
     # Any fixed order will do for the fingerprint. A hash of the id has no ties
     # to speak of, so its quantiles cut the corpus evenly.
     placed = ordered.row_index(
-        texts.withColumn("__at", F.xxhash64("id")),
+        tables.text_digests(texts, "text").withColumn("__at", F.xxhash64("id")),
         ["__at", "id"],
-        cut=ordered.balanced(at_most=log),
         name="pos",
     )
-    print_of = tables.corpus_fingerprint(placed, "pos", "text").first()["fingerprint"]
+    print_of = tables.corpus_fingerprint(placed, "pos").first()["fingerprint"]
 
     def build() -> DataFrame:
         embedded = texts.select("id", embedder.batch(F.col("text")).alias("vector"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +24,32 @@ def ensure_session(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_library(spark)
     return spark
 
 
+def ship_library(spark: SparkSession) -> None:
+    """Send the library's sources to the executors, once for each application.
+
+    Functions that run in tasks are named by module, so the workers must be able
+    to import them wherever the driver was started.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tidemark-src-"), "tidemark_src.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for package in ("tidemark", "workload"):
+            for folder, _, names in os.walk(os.path.join(here, package)):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, here))
+    context.addPyFile(archive)
+    context._tidemark_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder: ``spark.checkpoint.dir``, read from the session.
 
@@ -61,3 +86,14 @@ def stage(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage_table(df: DataFrame, label: str = "staged") -> DataFrame:
+    """Cut lineage with a parquet table below the shared folder.
+
+    Like :func:`stage`, but columnar: later passes read only the columns they
+    use, and counting reads the footers.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

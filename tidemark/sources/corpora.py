@@ -33,16 +33,14 @@ def write_documents(df: DataFrame, path: str, text: str = "text", separator: str
     df.select(F.col(text)).write.option("lineSep", f"\n{separator}\n").text(path)
 
 
-def bernoulli_sample(
-    df: DataFrame, key: str, fraction: float, seed: int = 0, resolution: int = 1_000_000
-) -> DataFrame:
+def bernoulli_sample(df: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
     """Keep each row independently with the given probability.
 
-    The draw is a hash of (seed, key), so a re-run or a retried task keeps the
-    same rows, and the sample needs no shuffle.
+    The draw is a 48-bit hash of (seed, key), so a re-run or a retried task keeps
+    the same rows, the sample needs no shuffle, and tiny fractions work.
     """
     draw = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key)), 256), 1, 12), 16, 10)
-    return df.filter(F.pmod(draw.cast("long"), F.lit(resolution)) < F.lit(int(fraction * resolution)))
+    return df.filter(draw.cast("long") < F.lit(round(fraction * 2**48)))
 
 
 def sample_to_bytes(

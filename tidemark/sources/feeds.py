@@ -55,11 +55,18 @@ def fail_unless(test: Column, message: Column | str, value: Column) -> Column:
 
 
 def paged_records(
-    payloads: DataFrame, fields: Sequence[str], payload: str = "payload"
+    payloads: DataFrame,
+    fields: Sequence[str],
+    payload: str = "payload",
+    resource: str | None = None,
 ) -> DataFrame:
     """``{success, result: {records: [...], total}}`` pages to one row per record.
 
-    A page with success = false is an error. Fields arrive as strings.
+    A page with success = false or without a list of records is an error.
+    ``resource`` names the column that says which pages belong together; then a
+    resource without records, or with other than the total its pages state, is
+    an error too. Without it, each page must hold a record. Fields arrive as
+    strings.
     """
     record = T.StructType([T.StructField(f, T.StringType()) for f in fields])
     page = T.StructType(
@@ -77,11 +84,23 @@ def paged_records(
         ]
     )
     parsed = payloads.withColumn("__page", F.from_json(payload, page))
-    records = fail_unless(
-        F.coalesce(F.col("__page.success"), F.lit(False)),
-        "page reports success=false",
-        F.col("__page.result.records"),
-    )
+    records = F.col("__page.result.records")
+    n = F.coalesce(F.size(records), F.lit(-1))
+    if resource is None:
+        records = fail_unless(n > 0, "no records in the page", records)
+    else:
+        whole = parsed.groupBy(resource).agg(
+            F.sum(F.greatest(n, F.lit(0))).alias("__received"),
+            F.min(n).alias("__least"),
+            F.max("__page.result.total").alias("__total"),
+        )
+        parsed = parsed.join(whole, resource, "left")
+        got, total = F.col("__received"), F.coalesce("__total", "__received")
+        stated = F.concat(got.cast("string"), F.lit(" records received, total is "), total.cast("string"))
+        records = fail_unless(got == total, stated, records)
+        records = fail_unless((F.col("__least") >= 0) & (got > 0), "no records", records)
+    success = F.coalesce(F.col("__page.success"), F.lit(False))
+    records = fail_unless(success, "page reports success=false", records)
     keep = [c for c in payloads.columns if c != payload]
     return parsed.select(*keep, F.explode(records).alias("__r")).select(*keep, "__r.*")
 
@@ -126,10 +145,14 @@ def parse_dates(df: DataFrame, column: str, formats: Sequence[str] = DATE_FORMAT
 
 
 def demand_rows(
-    payloads: DataFrame, retrieved_at: Column, year: Column | None = None
+    payloads: DataFrame,
+    retrieved_at: Column,
+    year: Column | None = None,
+    resource: str | None = None,
 ) -> DataFrame:
     """Half-hourly demand pages to the demand contract."""
-    rows = paged_records(payloads, ("SETTLEMENT_DATE", "SETTLEMENT_PERIOD", "ND", "TSD"))
+    fields = ("SETTLEMENT_DATE", "SETTLEMENT_PERIOD", "ND", "TSD")
+    rows = paged_records(payloads, fields, resource=resource)
     rows = parse_dates(rows, "SETTLEMENT_DATE")
     instant = timefn.settlement_to_utc("SETTLEMENT_DATE", "SETTLEMENT_PERIOD")
     return cast_to_contract(
@@ -152,12 +175,14 @@ def forecast_rows(
     payloads: DataFrame,
     retrieved_at: Column,
     measurements: Sequence[str] = tuple(FORECAST_NAMES),
+    resource: str | None = None,
 ) -> DataFrame:
     """Forecast archive pages; measurements not asked for become null columns."""
     unknown = [m for m in measurements if m not in FORECAST_NAMES]
     if unknown:
         raise ContractError(f"unknown measurement(s): {unknown}")
-    rows = paged_records(payloads, ("Date", "Settlement_Period", *measurements))
+    fields = ("Date", "Settlement_Period", *measurements)
+    rows = paged_records(payloads, fields, resource=resource)
     rows = parse_dates(rows, "Date")
     instant = timefn.settlement_to_utc("Date", "Settlement_Period")
     return cast_to_contract(

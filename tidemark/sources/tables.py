@@ -86,20 +86,23 @@ def union_tables(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def text_digests(df: DataFrame, text: str, name: str = "digest") -> DataFrame:
+    """The other columns with the text's digest in its place, to put in order instead of texts."""
+    return df.withColumn(name, F.sha2(F.col(text), 256)).drop(text)
+
+
 def corpus_fingerprint(
-    df: DataFrame, order: str, text: str, width: int = 10_000, name: str = "fingerprint"
+    df: DataFrame, order: str, digest: str = "digest", width: int = 10_000, name: str = "fingerprint"
 ) -> DataFrame:
     """Order-sensitive SHA-256 of the texts, as one row.
 
-    Each row is hashed, the hashes of one stretch of the order column are
-    joined in order and hashed, and so on until one row is left. A stretch
-    holds at most ``width`` short digests, so nothing grows with the corpus.
+    The digests of the rows (:func:`text_digests`) of one stretch of the order
+    column are joined in order and hashed, and so on until one row is left. A
+    stretch holds at most ``width`` short digests, so nothing grows with the corpus.
     ``order`` is a gap-free 0-based position (``ordered.row_index``), so the row
     count alone says how many levels there are.
     """
-    rows = df.select(
-        F.col(order).cast("long").alias("pos"), F.sha2(F.col(text), 256).alias("digest")
-    )
+    rows = df.select(F.col(order).cast("long").alias("pos"), F.col(digest).alias("digest"))
     last = df.count() - 1
     if last < 0:
         return df.sparkSession.range(1).select(F.sha2(F.lit(""), 256).alias(name))
@@ -130,14 +133,19 @@ def cached_vectors(
 ) -> tuple[DataFrame, bool]:
     """Vectors keyed by (corpus fingerprint, model id): reuse or rebuild.
 
-    The key sits in a one-row table beside the vectors. An unreadable or stale
-    cache is rebuilt. Returns the vectors and whether the cache was used.
+    The key sits in a one-row table beside the vectors. It is deleted before the
+    vectors change and written after, so a crash in between leaves no key and
+    never an old key beside new vectors. An unreadable or stale cache is
+    rebuilt. Returns the vectors and whether the cache was used.
     """
     vectors_path, key_path = f"{path}/vectors", f"{path}/key"
     if not force and table_exists(spark, vectors_path) and table_exists(spark, key_path):
         key = spark.read.parquet(key_path).first()
         if key and key["fingerprint"] == fingerprint and key["model_id"] == model_id:
             return spark.read.parquet(vectors_path), True
+    fs, old_key = _filesystem(spark, key_path)
+    if fs.exists(old_key) and not fs.delete(old_key, True):
+        raise OSError(f"could not delete the old key at {key_path}")
     replace_table(build(), vectors_path)
     key_row = spark.range(1).select(
         F.lit(fingerprint).alias("fingerprint"),

@@ -256,7 +256,7 @@ def weather_response_robust(spark, sf):
     """Robust refit of the hinged response, Huber loss."""
     rows = stage(roles.feature_rows(spark, sf))
     wide, names = regress.weather_response_design(rows, diurnal=1, weekly=0)
-    fits = regress.fit_robust(wide, names, "nd_mw", "huber", iterations=15)
+    fits = regress.fit_robust(wide, names, "nd_mw", "huber", tolerance=1e-8)
     return rounded(regress.coefficient_table(fits, regress.design(names)), 3)
 
 
@@ -560,6 +560,21 @@ def batch_scoring(spark, sf):
     )
 
 
+@query(
+    "feature_hashes_canonical",
+    """SELECT event_id, substr(sha256('{"caf\\u00e9": "' || event_type || '", "share": ' || CAST(value / 7e0 AS VARCHAR) || ', "small": ' || CAST(value / 3e9 AS VARCHAR) || '}'), 1, 16) AS feature_hash FROM events""",
+)
+def feature_hashes_canonical(spark, sf):
+    """Long fractions, exponents and a name beyond ASCII."""
+    rows = roles.table(spark, sf, "events").select(
+        "event_id",
+        F.col("event_type").alias("café"),
+        (F.col("value") / 7.0).alias("share"),
+        (F.col("value") / 3e9).alias("small"),
+    )
+    return rows.select("event_id", textfn.feature_hash(["small", "café", "share"]).alias("feature_hash"))
+
+
 @query(
     "feature_hashes",
     """SELECT o_orderkey, substr(sha256('{"o_custkey": ' || o_custkey || ', "o_orderstatus": "' || o_orderstatus || '"}'), 1, 16) AS feature_hash FROM orders""",

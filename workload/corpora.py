@@ -130,7 +130,7 @@ def separated_corpus_read(spark, sf):
 
 @query(
     "bernoulli_sample",
-    """SELECT doc_id FROM documents WHERE CAST('0x' || substr(sha256('7:' || doc_id), 1, 12) AS BIGINT) % 1000000 < 250000""",
+    """SELECT doc_id FROM documents WHERE CAST('0x' || substr(sha256('7:' || doc_id), 1, 12) AS BIGINT) < 70368744177664""",
 )
 def bernoulli_sample(spark, sf):
     return corpora.bernoulli_sample(

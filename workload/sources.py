@@ -19,7 +19,7 @@ RETRIEVED = "2024-02-01"
 
 
 def demand_payloads(spark, sf):
-    """One page of two records per order."""
+    """Two pages of one record for each order, which state their common total."""
     key = F.col("o_orderkey")
 
     def record(period, nd):
@@ -30,14 +30,14 @@ def demand_payloads(spark, sf):
             (nd + 5).cast("string").alias("TSD"),
         )
 
-    page = F.struct(
-        F.lit(True).alias("success"),
-        F.struct(
-            F.array(record(key % 46 + 1, key), record((key + 1) % 46 + 1, key + 1)).alias("records"),
-            F.lit(2).alias("total"),
-        ).alias("result"),
+    def page(item):
+        result = F.struct(F.array(item).alias("records"), F.lit(2).alias("total"))
+        return F.to_json(F.struct(F.lit(True).alias("success"), result.alias("result")))
+
+    pages = F.array(page(record(key % 46 + 1, key)), page(record((key + 1) % 46 + 1, key + 1)))
+    return roles.table(spark, sf, "orders").select(
+        key.alias("resource"), F.explode(pages).alias("payload")
     )
-    return roles.table(spark, sf, "orders").select(F.to_json(page).alias("payload"))
 
 
 _START = "timezone('UTC', timezone('Europe/London', o_orderdate) + to_minutes(({k} % 46) * 30))"
@@ -53,7 +53,9 @@ _START = "timezone('UTC', timezone('Europe/London', o_orderdate) + to_minutes(({
     + ")",
 )
 def demand_feed_rows(spark, sf):
-    return ntz(feeds.demand_rows(demand_payloads(spark, sf), stamp(RETRIEVED)))
+    return ntz(
+        feeds.demand_rows(demand_payloads(spark, sf), stamp(RETRIEVED), resource="resource")
+    )
 
 
 @query(

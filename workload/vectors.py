@@ -58,6 +58,19 @@ def cosine_top_k_enriched(spark, sf):
     )
 
 
+@query(
+    "cosine_top_k_of_all",
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 4""",
+)
+def cosine_top_k_of_all(spark, sf):
+    """Every vector is a question: blocks of questions meet blocks of the corpus."""
+    rows = roles.table(spark, sf, "embeddings")
+    asked = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    indexed = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors.top_k(indexed, asked, 4)
+
+
 @query(
     "vector_index_rows",
     """SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS norm_before, 1e0 AS norm_after FROM embeddings""",
@@ -123,8 +136,9 @@ def corpus_fingerprint(spark, sf):
     from tidemark.sources import tables
 
     docs = roles.table(spark, sf, "documents").select("doc_id", "text")
-    placed = ordered.row_index(docs, "doc_id", cut=ordered.balanced(), name="pos")
-    return tables.corpus_fingerprint(placed, "pos", "text")
+    # Digests are put in order, not texts.
+    placed = ordered.row_index(tables.text_digests(docs, "text"), "doc_id", name="pos")
+    return tables.corpus_fingerprint(placed, "pos")
 
 
 @query(
