@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,23 +75,30 @@ def autocorrelation(
 ) -> DataFrame:
     """Biased autocorrelation for lags 0..L with the Bartlett band.
 
-    Each row sees its next L values in one frame of its block, the products are
-    added by lag, and only L + 1 sums leave the executors.
+    A block of the series, with the L rows after it, gives its L + 1 sums of
+    products as dot products; a sum for each lag and block is all that is
+    shuffled. A null value is an error.
     """
     x = F.col(value).cast("double")
     mean = df.agg(F.avg(x)).scalar()
     centred = df.select(ix, (x - mean).alias("d"))
-    framed = ordered.blocked(
-        centred,
-        lambda w: {"ahead": F.collect_list("d").over(w.rowsBetween(0, lags))},
-        after=lags,
-        ix=ix,
-        block=block,
+    block = max(block, lags + 1)
+    at, own = F.col(ix), F.floor(F.col(ix) / F.lit(block))
+    # A row serves its own block and, near its start, the block before.
+    reach = F.floor((at - F.lit(lags)) / F.lit(block))
+    copies = centred.select(
+        "d", at.alias("ix"), F.explode(F.sequence(F.greatest(reach, F.lit(0).cast("long")), own)).alias("block")
     )
-    products = framed.select(
-        F.posexplode(F.transform("ahead", lambda y: y * F.col("d"))).alias("lag", "product")
-    )
-    sums = products.groupBy("lag").agg(F.sum("product").alias("s"))
+
+    def block_sums(key, rows):
+        place = rows.column("ix").to_numpy() - key[0].as_py() * block
+        d = np.zeros(block + lags)
+        d[place] = rows.column("d").to_numpy()
+        s = [float(d[:block] @ d[lag : lag + block]) for lag in range(lags + 1)]
+        return pa.table({"lag": pa.array(range(lags + 1), pa.int32()), "s": s})
+
+    sums = copies.groupBy("block").applyInArrow(block_sums, "lag int, s double")
+    sums = sums.groupBy("lag").agg(F.sum("s").alias("s"))
     whole = df.agg(
         F.struct(F.count(x).alias("n"), F.sum((x - mean) * (x - mean)).alias("v")).alias("w")
     ).scalar()

@@ -82,22 +82,20 @@ def step_lookup(spark, sf):
         "o_orderkey",
         F.timestamp_micros(F.unix_micros("o_orderdate") + (F.col("o_orderkey") % 24) * 3_600_000_000).alias("t"),
     )
-    # Many orders share an instant, so the lookup asks once per instant.
-    found = ordered.step_lookup(
-        steps, orders.select("t").distinct(), "t", "level", default=0.0
-    )
-    return ntz(orders.join(found, "t").select("o_orderkey", "t", "level"))
+    # Many orders share an instant; the lookup asks once per instant.
+    found = ordered.step_lookup(steps, orders, "t", "level", default=0.0)
+    return ntz(found.select("o_orderkey", "t", "level"))
 
 
 @query(
     "same_weekday_lookup",
-    f"""WITH {HOURLY}, h AS (SELECT *, isodow(timestamp_utc) AS dow, hour(timestamp_utc) AS hod FROM hourly WHERE day(timestamp_utc) <= 20),
-g AS (SELECT event_id, ts, isodow(ts) AS dow, hour(ts) AS hod FROM events WHERE day(ts) >= 9)
+    f"""WITH {HOURLY}, h AS (SELECT *, isodow(timestamp_utc) AS dow, hour(timestamp_utc) AS hod FROM hourly),
+g AS (SELECT event_id, ts, isodow(ts) AS dow, hour(ts) AS hod FROM events)
 SELECT g.event_id, g.ts, h.nd_mw AS y_pred FROM g ASOF LEFT JOIN h ON g.dow = h.dow AND g.hod = h.hod AND g.ts >= h.timestamp_utc""",
 )
 def same_weekday_lookup(spark, sf):
-    history = roles.hourly(spark, sf).filter(F.dayofmonth("timestamp_utc") <= 20)
-    wanted = roles.table(spark, sf, "events").filter(F.dayofmonth("ts") >= 9)
+    history = roles.hourly(spark, sf)
+    wanted = roles.table(spark, sf, "events")
     asked = wanted.select("event_id", F.col("ts").alias("timestamp_utc"))
     hit = backtest.same_weekday(history, asked, "nd_mw")
     return ntz(hit.withColumnRenamed("timestamp_utc", "ts"))

@@ -207,7 +207,6 @@ def order_holidays(spark: SparkSession, sf: str) -> DataFrame:
     )
     return (
         table(spark, sf, "orders")
-        .filter(F.col("o_orderdate") >= "1996-01-01")
         .select(F.col("o_orderdate").cast("date").alias("date"), F.explode(divisions).alias("division"))
         .distinct()
     )
@@ -221,7 +220,7 @@ holidays AS (
       CASE WHEN o_orderkey % 97 = 0 AND o_orderkey % 2 = 0 THEN 'scotland' END,
       CASE WHEN o_orderkey % 211 = 0 THEN 'scotland' END,
       CASE WHEN o_orderkey % 199 = 0 THEN 'northern-ireland' END]) AS division)
-  WHERE division IS NOT NULL AND o_orderdate >= TIMESTAMP '1996-01-01')"""
+  WHERE division IS NOT NULL)"""
 
 
 def order_hours(spark: SparkSession, sf: str) -> DataFrame:
