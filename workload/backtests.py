@@ -256,7 +256,7 @@ def weather_response_robust(spark, sf):
     """Robust refit of the hinged response, Huber loss."""
     rows = stage(roles.feature_rows(spark, sf))
     wide, names = regress.weather_response_design(rows, diurnal=1, weekly=0)
-    fits = regress.fit_robust(wide, names, "nd_mw", "huber", iterations=100, tolerance=1e-7)
+    fits = regress.fit_robust(wide, names, "nd_mw", "huber", iterations=100, tolerance=1e-6)
     return rounded(regress.coefficient_table(fits, regress.design(names)), 3)
 
 
