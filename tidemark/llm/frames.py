@@ -6,15 +6,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import scratch_path
+from tidemark.session import ensure_session, scratch_path
 
 # A side is broadcast only when its counted rows stay below this many bytes.
 BROADCAST_BYTES = 16 << 20
 # Text worked on at once inside a task.
 SLICE_BYTES = 2 << 20
+# What Spark hands to a Python worker at once: its buffers lie outside the heap, twice for each task.
+BATCH_BYTES = 2 << 20
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the library's settings and small Arrow batches."""
+    ensure_session(spark)
+    for key, value in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", 4000)):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+    return spark
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import codes, exact, html, langid, mix, near, pack, quality, spans, tokens
-from tidemark.session import ensure_session
+from tidemark.llm.frames import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,10 +24,34 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ensure_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_minhash_near_dedup")
+# Smallest id reachable over the links of a table ``e(a, b)``.
+_REACH = """both_ways AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT x AS node, x AS other FROM both_ways UNION SELECT r.node, b.y FROM reach r JOIN both_ways b ON b.x = r.other),
+parts AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)"""
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op1_minhash_near_dedup",
+    f"""
+    WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS ws FROM documents),
+    l AS (SELECT doc_id, CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+          ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END AS l
+          FROM w WHERE len(ws) > 0),
+    s AS (SELECT DISTINCT doc_id, unnest(l) AS s FROM l),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+    e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+    {_REACH}
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id,
+           coalesce(component, d.doc_id) = d.doc_id AS kept
+    FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN parts ON node = d.doc_id
+    """,
+)
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -62,12 +86,38 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
-@query("op9_substring_dedup")
+@query(
+    "op9_substring_dedup",
+    f"""
+    WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
+    starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13),
+    windows AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS k FROM starts),
+    owners AS (SELECT k, min(doc_id) AS owner FROM windows GROUP BY 1),
+    gone AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS p FROM windows JOIN owners USING (k) WHERE owner < doc_id),
+    placed AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS x FROM w),
+    kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY 1),
+    lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+    SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM w LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
+)
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeated_spans(table(spark, sf_dir, "documents"))
 
 
-@query("op7_embedding_near_dedup")
+@query(
+    "op7_embedding_near_dedup",
+    f"""
+    WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    e AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id
+          WHERE list_cosine_similarity(x.v, y.v) >= 0.95),
+    {_REACH},
+    links AS (SELECT x, count(*) AS n FROM both_ways GROUP BY 1)
+    SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id,
+           coalesce(component, vec_id) = vec_id AS kept
+    FROM embeddings LEFT JOIN links ON x = vec_id LEFT JOIN parts ON node = vec_id
+    """,
+)
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
