@@ -166,10 +166,20 @@ def residual_series(df: DataFrame, ts: str = "timestamp_utc") -> DataFrame:
 
 
 def ablation(
-    scores: DataFrame, baseline: str, names: Sequence[str], points_of: str = "mape"
+    scores: DataFrame,
+    baseline: str,
+    names: Sequence[str],
+    points_of: str = "mape",
+    residuals: DataFrame | None = None,
 ) -> DataFrame:
-    """Metric means per model and the improvement on a baseline in points."""
+    """Metric means per model and the improvement on a baseline in points.
+
+    With ``residuals(model, error)``, also the deviation of each model's errors.
+    """
     means = scores.groupBy("model").agg(*(F.avg(n).alias(n) for n in names))
+    if residuals is not None:
+        spread = residuals.groupBy("model").agg(F.stddev_pop("error").alias("residual_std"))
+        means = means.join(spread, "model", "left")
     base = means.filter(F.col("model") == baseline).select(points_of).scalar()
     return means.withColumn("improvement_pp", (base - F.col(points_of)) * 100.0)
 

@@ -342,6 +342,18 @@ def hinge_slopes(
     )
 
 
+def response_curve(
+    slopes: DataFrame, low: int, high: int, steps: int = 1, t_heat: float = 15.5, t_cool: float = 22.0
+) -> DataFrame:
+    """The fitted response of :func:`hinge_slopes` on a temperature grid, ``steps`` to a degree."""
+    grid = F.explode(F.sequence(F.lit(low * steps), F.lit(high * steps)))
+    curve = slopes.select("*", grid.alias("__step"))
+    curve = curve.withColumn("temperature", F.col("__step") / F.lit(float(steps)))
+    heating, cooling = timefn.degree_terms("temperature", t_heat, t_cool)
+    fitted = F.col("alpha") + F.col("beta_heat") * heating + F.col("beta_cool") * cooling
+    return curve.select("temperature", fitted.alias("fitted"))
+
+
 def standardise(
     df: DataFrame, columns: Sequence[str], train: Column | None = None
 ) -> DataFrame:

@@ -63,12 +63,24 @@ def score_batch(
     features: Sequence[str],
     run_id: str,
     intercept: bool = True,
+    name: str | None = None,
+    target: str | None = None,
 ) -> DataFrame:
-    """Predictions of one stored run: its single coefficient row scores every feature row."""
+    """Predictions of one stored run: its single coefficient row scores every feature row.
+
+    Each row logs its request: run, model name, target, and the hash of the features it used.
+    """
+    from tidemark.functions import textfn
     from tidemark.operators.regress import dot
 
     wanted = registry.describe(coefficients, run_id)
     beta = wanted.select("coefficients").scalar()
-    return rows.withColumn("prediction", dot(features, beta, intercept)).withColumn(
-        "run_id", F.lit(run_id)
+    return rows.withColumns(
+        {
+            "prediction": dot(features, beta, intercept),
+            "run_id": F.lit(run_id),
+            "model_name": F.lit(name),
+            "target": F.lit(target),
+            "feature_hash": textfn.feature_hash(features),
+        }
     )

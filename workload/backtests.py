@@ -271,6 +271,18 @@ def hinge_slopes(spark, sf):
     return rounded(regress.hinge_slopes(rows, "nd_mw", "temperature_2m"))
 
 
+@query(
+    "response_curve_fitted",
+    f"""WITH {_RESPONSE}, m AS (SELECT avg(y) AS m FROM rows),
+h AS (SELECT any_value(m) AS alpha, coalesce(sum(x1 * (y - m)) / nullif(sum(x1 * x1), 0), 0) AS bh, coalesce(sum(x2 * (y - m)) / nullif(sum(x2 * x2), 0), 0) AS bc FROM rows, m)
+SELECT CAST(t AS DOUBLE) AS temperature, round(alpha + bh * greatest(0, 15.5 - t) + bc * greatest(0, t - 22), 4) AS fitted FROM h, LATERAL (SELECT unnest(range(-10, 36)) AS t)""",
+)
+def response_curve_fitted(spark, sf):
+    rows = roles.feature_rows(spark, sf)
+    slopes = regress.hinge_slopes(rows, "nd_mw", "temperature_2m")
+    return rounded(regress.response_curve(slopes, -10, 35), 4)
+
+
 def feature_frame(spark, sf):
     return training.prepare(roles.feature_rows(spark, sf))
 
@@ -402,25 +414,34 @@ def benchmark_window_overlap(spark, sf):
     return ntz(rounded(inside, 4))
 
 
-def _scores(spark, sf):
+def _scored(spark, sf):
+    """Metrics of each fold, and errors, of the two naive models."""
     rows = frame(spark, sf)
     n = backtest.count_rows(rows)
-    out = None
+    out = errors = None
     for model in (NAIVE_DAY, NAIVE_WEEK):
-        per_fold, _ = backtest.evaluate(model, rows, SPLIT, "nd_mw", METRICS, n_rows=n)
+        per_fold, predicted = backtest.evaluate(model, rows, SPLIT, "nd_mw", METRICS, n_rows=n)
         named = per_fold.withColumn("model", F.lit(model.name))
         out = named if out is None else out.unionByName(named)
-    return out
+        residual = predicted.select(F.lit(model.name).alias("model"), "error")
+        errors = residual if errors is None else errors.unionByName(residual)
+    return out, errors
+
+
+def _scores(spark, sf):
+    return _scored(spark, sf)[0]
 
 
 @query(
     "ablation_table",
     f"""WITH {_IX}, {_folds(SPLIT)}, {_naive_preds("d1", 24)}, {_naive_preds("d7", 168)},
-m AS (SELECT 'naive-day' AS model, * FROM {_mean_metrics("d1")} UNION ALL SELECT 'naive-week', * FROM {_mean_metrics("d7")})
-SELECT model, {_ROUND4}, round(((SELECT mape FROM m WHERE model = 'naive-day') - mape) * 100, 4) AS improvement_pp FROM m""",
+m AS (SELECT 'naive-day' AS model, * FROM {_mean_metrics("d1")} UNION ALL SELECT 'naive-week', * FROM {_mean_metrics("d7")}),
+r AS (SELECT 'naive-day' AS model, stddev_pop(y - p) AS s FROM d1 UNION ALL SELECT 'naive-week', stddev_pop(y - p) FROM d7)
+SELECT model, {_ROUND4}, round(s, 4) AS residual_std, round(((SELECT mape FROM m WHERE model = 'naive-day') - mape) * 100, 4) AS improvement_pp FROM m JOIN r USING (model)""",
 )
 def ablation_table(spark, sf):
-    return rounded(diagnose.ablation(_scores(spark, sf), "naive-day", METRICS), 4)
+    scores, errors = _scored(spark, sf)
+    return rounded(diagnose.ablation(scores, "naive-day", METRICS, residuals=errors), 4)
 
 
 _SUMMARY = f"""WITH {_IX}, {_folds(SPLIT)}, {_naive_preds("d1", 24)}, {_naive_preds("d7", 168)},
@@ -545,7 +566,8 @@ def trained_runs(spark, sf):
 @query(
     "batch_scoring",
     f"""WITH rows AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS y, l_quantity AS x1, l_discount AS x2 FROM lineitem), {_OLS.format(by='', group='')}
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((my - b1 * m1 - b2 * m2) + b1 * x1 + b2 * x2, 3) AS prediction, 'linear_20240201T0000' AS run_id FROM rows, b""",
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((my - b1 * m1 - b2 * m2) + b1 * x1 + b2 * x2, 3) AS prediction, 'linear_20240201T0000' AS run_id, 'linear' AS model_name, 'l_extendedprice' AS target,
+substr(sha256('{{"l_discount": ' || CAST(x2 AS VARCHAR) || ', "l_quantity": ' || CAST(x1 AS VARCHAR) || '}}'), 1, 16) AS feature_hash FROM rows, b""",
 )
 def batch_scoring(spark, sf):
     rows = roles.table(spark, sf, "lineitem")
@@ -555,10 +577,12 @@ def batch_scoring(spark, sf):
             registry.run_id(F.lit("linear"), stamp("2024-02-01")).alias("run_id"), "coefficients"
         )
     )
-    scored = training.score_batch(rows, stored, features, "linear_20240201T0000")
-    return rounded(
-        scored.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "prediction", "run_id"), 3
+    scored = training.score_batch(
+        rows, stored, features, "linear_20240201T0000", name="linear", target="l_extendedprice"
     )
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    logged = ["prediction", "run_id", "model_name", "target", "feature_hash"]
+    return rounded(scored.select(*keys, *logged), 3)
 
 
 @query(
