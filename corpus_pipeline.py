@@ -5,32 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact, langid, mix, near, pack
-from tidemark.llm.frames import staged
-from tidemark.session import ensure_session
+from tidemark.llm.frames import prepared, staged
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified."""
+    prepared(spark)
     return langid.keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of documents that are equal up to white space."""
+    prepared(spark)
     return exact.drop_exact_duplicates(docs, exact.midpoint(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of documents linked by a similarity of 0.8 or more on five-word shingles."""
+    prepared(spark)
     return near.drop_near_duplicates(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that meet the sources' target weights, repeated ones as repeated rows."""
+    prepared(spark)
     return mix.take_mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces of the documents in sequences of 2048 tokens."""
+    prepared(spark)
     return pack.pack_documents(docs)
 
 
@@ -48,7 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written and read again before the next."""
-    docs = ensure_session(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -175,7 +175,8 @@ def pack_documents(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     is its special id, as the library has it by default. Repeated rows and null ids are packed
     like others. Other columns are ignored. An empty table gives an empty result.
     """
-    cut = pieces(docs, ranks_path or default_ranks())
+    # Staged, so that no task holds a tokenizing and a packing worker at once.
+    cut = staged(pieces(docs, ranks_path or default_ranks()), "pieces")
     one = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))
     items = cut.select(F.col("length").alias("used"), F.array(one).alias("pieces"))
     bins = staged(packed_bins(items), "bins")
