@@ -324,7 +324,9 @@ def teaching_pages(pages: list[str], seed: int = 5) -> list[tuple[str, list[bool
     words = [w for lines in taken for line in lines for w in line.split()][:20_000]
     out = []
     for lines in taken:
-        for _ in range(2):
+        for k in range(2):
+            if k and rng.random() < 0.2:  # a page of two short lines
+                lines = [line[: rng.randint(12, 45)].rsplit("&", 1)[0] or "x" for line in lines[:2]]
             head = rng.choice(["h1", "h1", "h2"])
             body = f"<{head}>{lines[0]}</{head}>"
             # Short articles, too, and those whose first line says the title again.
@@ -404,6 +406,14 @@ def extract_texts(pages: list[str], model: tuple[BoostedTrees, BoostedTrees]) ->
     return [block_text(d, kept[a:b]) for d, a, b in zip(doms, first, ends, strict=True)]
 
 
+def teaching_sample(pages: DataFrame) -> list[str]:
+    """The pages of the ``TEACHING_PAGES`` smallest id hashes; ids are ranked first, then their pages are read."""
+    known = pages.where("html is not null and page_id is not null")
+    ids = known.select("page_id").orderBy(F.xxhash64("page_id", F.lit(3)), "page_id").limit(TEACHING_PAGES).collect()
+    wanted = known.where(F.col("page_id").isin([r.page_id for r in ids]))
+    return [r.html for r in wanted.select("html", "page_id").limit(TEACHING_PAGES).collect()]
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages(page_id, url, html, ...)``.
 
@@ -412,8 +422,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     rows and null ids are pages like others. Other columns are ignored. An empty table gives an
     empty result. The trees are fitted on ``TEACHING_PAGES`` pages, those of the smallest hash.
     """
-    sample = pages.where("html is not null").orderBy(F.xxhash64("page_id", F.lit(3)), "page_id")
-    model = teach([r.html for r in sample.select("html").limit(TEACHING_PAGES).collect()])
+    model = teach(teaching_sample(pages))
 
     def run(batches):
         for batch in batches:
