@@ -20,8 +20,9 @@ from tidemark.llm import frames
 from tidemark.llm.frames import staged
 from tidemark.llm.words import mix
 
-# Digests of one filter, on average.
+# Digests of one filter at most, on average, and of one of a small table, which is cut finer.
 SHARD_KEYS = 100_000
+LEAST_SHARD_KEYS = 250
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
@@ -141,7 +142,8 @@ def exact_duplicates(docs: DataFrame, in_snapshot: Column) -> DataFrame:
     read = docs.select("doc_id", text.alias("t"), F.coalesce(in_snapshot, F.lit(False)).alias("old"))
     sha = F.unhex(F.sha2("t", 256))
     seen = staged(read.select("doc_id", "old", sha.alias("sha"), F.xxhash64("t").alias("h")), "digests")
-    shards = max(1, math.ceil(seen.count() / SHARD_KEYS))
+    n, spread = seen.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, math.ceil(n / SHARD_KEYS), min(spread, math.ceil(n / LEAST_SHARD_KEYS)))
     snapshot, batch = seen.where("old"), seen.where("not old")
     filters = staged(snapshot_filters(snapshot, shards), "filters")
     repeated = seen.groupBy("old", "h").count().where("count > 1").select("h")
