@@ -171,7 +171,9 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
     """Stars over the representatives whose sketches and sizes allow the similarity and that share a band."""
     most = most_odd_bits(max(LEAST_SAMPLES, bands_for(percent) * ROWS_PER_BAND), percent)
     members = reps.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
+    # Staged, so that both sides of the join are shuffled and a hot bucket can be split.
     counts = members.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    counts = staged(counts, "buckets")
     hits = members.join(counts, "key")
     hits = frames.blocked(hits, "key", "members", "node", BAND_BLOCK)
     sketches = reps.select(F.col("doc_id").alias("node"), "n_shingles", "sketch")
@@ -283,7 +285,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     seen = staged(signatures(docs, percent), "signatures")
     some = seen.where("doc_id is not null and n_shingles > 0")
-    classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # Staged, so that both sides of the join are shuffled and a large class can be split.
+    classes = staged(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "reps")
     members = staged(
         some.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep").distinct(), "classes"
     )
