@@ -39,6 +39,8 @@ TABLE_BITS = 16
 MOST_BITS = 1 << 28
 # Reference words of a shard and words streamed through one copy of it, on average.
 SHARD_WORDS = 50_000
+# A small table is cut finer, so that every task has a shard.
+LEAST_SHARD_WORDS = 1_000
 STREAM_WORDS = 1_000_000
 
 
@@ -107,17 +109,21 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "anchor long, class long")
 
 
-def anchor_table(docs: DataFrame) -> np.ndarray:
-    """Bit table of the anchors that two different texts have; 32 MB at most."""
+def shared_anchors(docs: DataFrame) -> DataFrame:
+    """``(key,)``: the anchors that two different texts have."""
     shared = anchor_rows(docs).groupBy("anchor").agg(F.min("class").alias("a"), F.max("class").alias("b"))
-    shared = staged(shared.where("a != b").select("anchor"), "anchors")
+    return staged(shared.where("a != b").select(F.col("anchor").alias("key")), "anchors")
+
+
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """Bit table of the staged ``key`` values; 32 MB at most."""
     bits = 1 << 16
-    wanted = shared.count() * TABLE_BITS
+    wanted = keys.count() * TABLE_BITS
     while bits < min(wanted, MOST_BITS):
         bits *= 2
-    slot = F.pmod("anchor", F.lit(bits))
-    cells = shared.groupBy(F.shiftright(slot, 6).alias("cell")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(anchor, {bits}) & 63 as int))")).alias("bits")
+    slot = F.pmod("key", F.lit(bits))
+    cells = keys.groupBy(F.shiftright(slot, 6).alias("cell")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {bits}) & 63 as int))")).alias("bits")
     )
     table = np.zeros(bits // 64, np.uint64)
     got = cells.toArrow()  # a row for each 64 bits of the table at most
@@ -254,22 +260,26 @@ def screened(docs: DataFrame, table: np.ndarray) -> DataFrame:
     )
 
 
-def shared_windows(work: DataFrame, table: np.ndarray) -> DataFrame:
-    """``(class, start, owner)`` of the windows that several documents have."""
-    shared = work.sparkSession.sparkContext.broadcast(table)
+def window_rows(work: DataFrame, anchors: np.ndarray, windows: np.ndarray | None = None) -> DataFrame:
+    """``(window, doc_id, class, start)`` of the windows with a shared anchor, and with a bit in ``windows``."""
+    shared = work.sparkSession.sparkContext.broadcast((anchors, windows))
 
     def run(batches):
+        anchor_bits, window_bits = shared.value
         for batch in batches:
             for part in frames.text_slices(batch, "text"):
                 w = Words(part.column("text"))
-                anchors, at = w.anchors()
-                at = at[in_table(shared.value, anchors)]
+                found, at = w.anchors()
+                at = at[in_table(anchor_bits, found)]
                 hashes, first = words.window_hashes(w.hashes, w.rows, WINDOW)
-                hashes = hashes[np.searchsorted(first, at)].view(np.int64)
+                hashes = hashes[np.searchsorted(first, at)]
+                if window_bits is not None:
+                    some = in_table(window_bits, hashes)
+                    hashes, at = hashes[some], at[some]
                 rows = w.rows[at]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(hashes),
+                        pa.array(hashes.view(np.int64)),
                         part.column("doc_id").take(pa.array(rows)),
                         part.column("class").take(pa.array(rows)),
                         pa.array((at - w.first[rows]).astype(np.int32)),
@@ -277,17 +287,29 @@ def shared_windows(work: DataFrame, table: np.ndarray) -> DataFrame:
                     names=["window", "doc_id", "class", "start"],
                 )
 
-    found = work.select("doc_id", "class", "text").mapInArrow(
-        run, "window long, doc_id long, class long, start int"
-    )
+    return work.select("doc_id", "class", "text").mapInArrow(run, "window long, doc_id long, class long, start int")
+
+
+def window_owners(work: DataFrame, anchors: np.ndarray) -> DataFrame:
+    """``(key, owner)``: the windows that several documents have, and the smallest of these."""
+    found = window_rows(work, anchors).select("window", "doc_id")
     owners = found.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    # Staged, so that both sides of the join are shuffled and a very common window can be split.
-    owners = staged(owners.where("owner < last").select("window", "owner"), "owners")
-    return found.select("window", "class", "start").join(owners, "window").select("class", "start", "owner")
+    # Staged, so that both sides of the later join are shuffled and a very common window can be split.
+    return staged(owners.where("owner < last").select(F.col("window").alias("key"), "owner"), "owners")
+
+
+def packed_windows(found: DataFrame, owners: DataFrame, shards: int) -> DataFrame:
+    """``(class, windows)``: of each shared window, in one number, its shard, whether it asks, and its start."""
+    asks = (F.col("owner") != F.col("doc_id")).cast("long")
+    shard = F.pmod(F.xxhash64("owner"), F.lit(shards))
+    one = F.shiftleft(F.shiftleft(shard, 1) + asks, 31) + F.col("start")
+    owned = owners.withColumnRenamed("key", "window")
+    joined = found.join(owned, "window").select("class", one.alias("one"))
+    return joined.groupBy("class").agg(F.collect_list("one").alias("windows"))
 
 
-def span_rows(placed: DataFrame, shards: int) -> DataFrame:
-    """Reference spans and asking spans of ``doc_id, class, text, windows(start, owner)``, by shard."""
+def span_rows(placed: DataFrame) -> DataFrame:
+    """Reference spans and asking spans of ``doc_id, class, text, windows``, by shard."""
 
     def run(batches):
         for batch in batches:
@@ -297,17 +319,12 @@ def span_rows(placed: DataFrame, shards: int) -> DataFrame:
                 lists = part.column("windows")
                 out = []
                 for row in range(part.num_rows):
-                    inner = lists[row].values
-                    starts, owners = inner.field("start").to_numpy(), inner.field("owner").to_numpy()
-                    shard = (words.mix(owners.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
-                    asks = owners != docs[row]
-                    # Spans of one shard and one kind, as runs of windows.
-                    for key in np.unique(shard * 2 + asks):
-                        some = np.unique(starts[shard * 2 + asks == key]).astype(np.int64)
-                        for a, b in zip(*_runs(some), strict=True):
-                            at = w.first[row]
-                            span = w.hashes[at + a : at + b + WINDOW]
-                            out.append((key // 2, bool(key % 2), docs[row], classes[row], a, len(span), span.tobytes()))
+                    # In order of shard, kind and start, runs of windows are runs of numbers.
+                    for a, b in zip(*_runs(np.unique(lists[row].values.to_numpy())), strict=True):
+                        key, start = divmod(int(a), 1 << 31)
+                        at = w.first[row] + start
+                        span = w.hashes[at : at + int(b - a) + WINDOW]
+                        out.append((key // 2, bool(key % 2), docs[row], classes[row], start, len(span), span.tobytes()))
                 names = ["shard", "asks", "doc_id", "class", "start", "n_words", "words"]
                 kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                 columns = list(zip(*out, strict=True)) or [()] * 7
@@ -382,6 +399,12 @@ def without_spans(placed: DataFrame) -> DataFrame:
     return placed.select("class", "text", "runs").mapInArrow(run, "class long, n_removed long, kept binary")
 
 
+def _with_texts(work: DataFrame, lists: DataFrame) -> DataFrame:
+    """The rows of ``work`` whose class is in the staged ``lists``, with these; other texts are not shuffled."""
+    wanted = frames.small_join(work, lists.select("class"), "class", "left_semi", 16)
+    return wanted.join(lists, "class")
+
+
 def remove_repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for every row of ``docs(doc_id, text, ...)``.
 
@@ -393,7 +416,7 @@ def remove_repeated_spans(docs: DataFrame) -> DataFrame:
     neither loses words nor makes others lose theirs. Rows that share an id do not make each
     other lose words. Other columns are ignored. An empty table gives an empty result.
     """
-    table = anchor_table(docs)
+    table = bit_table(shared_anchors(docs))
     seen = staged(screened(docs, table), "screened")
     some = seen.where("doc_id is not null and n_words >= %d" % WINDOW)
     firsts = staged(some.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "firsts")
@@ -401,15 +424,16 @@ def remove_repeated_spans(docs: DataFrame) -> DataFrame:
     later = staged(later.select("doc_id", "sha").distinct(), "later")
     work = some.where("text is not null")
     work = frames.small_join(work, later, ["doc_id", "sha"], "left_anti", 48).select("doc_id", "class", "text")
-    work = staged(work, "work")
-    windows = staged(shared_windows(work, table), "windows")
-    lists = windows.groupBy("class").agg(F.collect_list(F.struct("start", "owner")).alias("windows"))
-    placed = work.join(lists, "class")
-    owned = windows.select("owner").distinct().count()
-    shards = max(1, math.ceil(windows.count() / SHARD_WORDS)) if owned else 1
-    spans = staged(span_rows(placed, shards), "spans")
+    owners = window_owners(work, table)
+    n = owners.count()
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, math.ceil(n / SHARD_WORDS), min(spread, math.ceil(n / LEAST_SHARD_WORDS)))
+    found = window_rows(work, table, bit_table(owners.select("key")))
+    lists = staged(packed_windows(found, owners, shards), "lists")
+    spans = staged(span_rows(_with_texts(work, lists)), "spans")
     runs = repeated_spans(spans).groupBy("class").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    cut = without_spans(work.join(runs, "class")).dropDuplicates(["class"])
+    runs = staged(runs, "runs")
+    cut = without_spans(_with_texts(work, runs)).dropDuplicates(["class"])
     gone = later.withColumn("later", F.lit(True))
     empty = F.lit(hashlib.sha256(b"").digest())
     n_removed = (
