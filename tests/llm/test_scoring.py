@@ -85,6 +85,19 @@ def test_packing_places_every_piece_once_and_without_gaps(spark):
     assert pack.pack_documents(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_packing_takes_texts_with_very_long_white_space(spark):
+    texts = ["a" + " " * 1_000_100 + "b", "\n" * 1_000_100 + "x", "\t" * 1_000_100, "<|endoftext|>" + " " * 1_000_100 + "x", "short"]
+    got = pack.pack_documents(spark.createDataFrame([doc(k, t) for k, t in enumerate(texts)], DOCS)).toPandas()
+    encode = library()
+    want = set()
+    for k, text in enumerate(texts):
+        ids = np.array(encode.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        for piece, (start, n) in enumerate(pack.piece_bounds(len(ids))):
+            want.add((k, piece, start, n, zlib.crc32(ids[start : start + n].tobytes())))
+    mine = list(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None))
+    assert len(mine) == len(want) and set(mine) == want
+
+
 def test_best_fit_takes_the_tightest_bin():
     bins, offsets, n = pack.best_fit(np.array([6, 5, 4, 3, 2]), room=10)
     assert n == 2

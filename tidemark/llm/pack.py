@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import zlib
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,25 @@ def encoder(ranks_path: str):
     )
 
 
+@lru_cache(maxsize=2)
+def json_tokenizer(ranks_path: str):
+    """The json file of the same vocabulary, which lies beside its rank file."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(str(Path(ranks_path).with_suffix(".json")))
+
+
+def token_ids(text: str, ranks_path: str) -> np.ndarray:
+    """Ids of a text. The rank library's splitting gives up on very long runs of white space; the json's does not."""
+    encode = encoder(ranks_path)
+    try:
+        if SPECIAL in text:
+            return np.array(encode.encode(text, allowed_special="all"), np.uint32)
+        return encode.encode_to_numpy(text, disallowed_special=())
+    except ValueError:
+        return np.array(json_tokenizer(ranks_path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def default_ranks() -> str:
     import public_tokenizers
 
@@ -66,16 +86,10 @@ def pieces(docs: DataFrame, ranks_path: str) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of each document's ids and the end id."""
 
     def run(batches):
-        encode = encoder(ranks_path)
         for batch in batches:
             ids, out = batch.column("doc_id"), []
             for row, text in enumerate(batch.column("text")):
-                text = text.as_py() or ""
-                if SPECIAL in text:
-                    got = np.array(encode.encode(text, allowed_special="all"), np.uint32)
-                else:
-                    got = encode.encode_to_numpy(text, disallowed_special=())
-                all_ids = np.append(got, END_ID).astype("<u4")
+                all_ids = np.append(token_ids(text.as_py() or "", ranks_path), END_ID).astype("<u4")
                 for k, (start, n) in enumerate(piece_bounds(len(all_ids))):
                     out.append((row, k, start, n, zlib.crc32(all_ids[start : start + n].tobytes())))
             if out:
@@ -172,7 +186,9 @@ def pack_documents(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     Returns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``. A document is its
     ids and the end id 0; only longer ones are cut, in full pieces after a first one that may
     be shorter. A null or empty text is the end id alone. The special string of the vocabulary
-    is its special id, as the library has it by default. Repeated rows and null ids are packed
+    is its special id, as the library has it by default. A text that the rank library cannot
+    split, as one with a million white-space characters in a row, gets the same ids from the
+    vocabulary's json file. Repeated rows and null ids are packed
     like others. Other columns are ignored. An empty table gives an empty result.
     """
     # Staged, so that no task holds a tokenizing and a packing worker at once.
