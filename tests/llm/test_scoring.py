@@ -259,6 +259,40 @@ def test_dom_closes_what_pages_leave_open():
     assert html.block_text(dom, np.ones(len(dom.names), bool)) == "ab\nc & dé\nx\ny\nz q"
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p title=it's>Hello world</p><p>it's fine</p>", "Hello world\nit's fine"),
+        ('<a href="x"">one</a> two', "one two"),
+        ('<p title="abc>Hello</p><p>x', "Hello\nx"),
+        ('<a b = "c>d" e>f', "f"),
+        ("<script src=/x/>code()</script>k", "k"),
+        ('<script>var a = "<!--", b = a<c && "</p>";</script>text', "text"),
+        ("<!-->x<!-- y -->z", "xz"),
+        ("<p>E is <math><mi>m</mi><mo>c</mo></math> so</p>", "E is mc so"),
+        ("<p>u <object data=x>v</object> <noscript>n</noscript> w</p>", "u v n w"),
+        ('<div><svg><path d="1">in</div><p>after</p>', "after"),
+        ('<div><svg><path d="1"/><p>out</p></div>', "out"),
+        ("<p>a<select><option>x</p><p>b</p>", "a\nb"),
+        ("<div><object>a</div>b", "a\nb"),
+        ("<head><title>abc</head><p>x", "x"),
+        ("<svg><foreignObject><p>no</p></foreignObject></svg>yes", "yes"),
+    ],
+)
+def test_malformed_markup_loses_no_text(page, want):
+    dom = html.Dom(page)
+    assert html.block_text(dom, np.ones(len(dom.names), bool)) == want
+
+
+def test_unfinished_markup_takes_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<a " * 200_000, '<a b="' * 100_001, "<title>" * 50_000, "<p '" * 100_000 + ">", "<script" * 50_000, "<!--" * 100_000):
+        html.Dom(page)
+    assert time.time() - began < 20
+
+
 def test_decoding_keeps_below_what_is_kept():
     parent = np.array([-1, 0, 1, 1, 0])
     main, mixed = np.array([0.5, 0.9, 0.9, 0.2, 0.1]), np.array([0.9, 0.01, 0, 0, 0])

@@ -31,11 +31,23 @@ TEACHING_PAGES = 240
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object textarea title select".split())
+# What holds no markup, and what holds some but no text of the page.
+RAW = frozenset("script style iframe textarea title".split())
+HIDDEN = frozenset("svg select template".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded "
+    "mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics annotation "
+    "annotation-xml".split()
 )
+# These stand within a line, too, but may hold blocks.
+PHRASING = INLINE | {"object", "noscript"}
+# Elements that end an open drawing, and those of a drawing that may hold them.
+NOT_DRAWN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+HOLDS_PAGE = frozenset(["foreignobject", "desc"])
 CLOSED_BY_BLOCK = frozenset(["p"])
 CLOSES_ITSELF = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",)}
 NAMES = (
@@ -52,9 +64,14 @@ TOKENS = (
 _NAME_AT = {n: k for k, n in enumerate(NAMES)}
 _TOKEN_AT = {t: k for k, t in enumerate(TOKENS)}
 
+# A quote opens a value only right after "="; a value that is never closed ends like one without quotes.
+_VALUE = r"(?>\"[^\"]*\"|'[^']*'|[^\s>]*+)"
+_NAMED = rf"[^\s/>][^\s/>=]*+(?>\s*+=\s*+{_VALUE})?+"
+_ATTRIBUTE = re.compile(_NAMED)
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[\s/]++|{_NAMED})*+)(?:>|\Z)", re.S
 )
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _LETTERS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -67,49 +84,61 @@ class Dom:
         self.names, self.parents, self.marks = ["#page"], [-1], [""]
         self.texts: list[tuple[int, str]] = []  # (element, text)
         self.breaks: list[int] = []  # number of text pieces before each block edge
-        stack, at, skip = [0], 0, None
-        for m in _MARKUP.finditer(page):
-            if skip is not None:
-                if m[2] is None or not m[1] or m[2].lower() != skip:
-                    continue
-                skip, at = None, m.end()
-                continue
+        self.hidden = [False]
+        stack, at, unclosed = [("#page", 0)], 0, set()  # (name, element); what is hidden adds no elements
+        while m := _MARKUP.search(page, at):
             if m.start() > at:
-                self._text(stack[-1], page[at : m.start()])
+                self._text(stack[-1][1], page[at : m.start()])
             at = m.end()
             if m[2] is None:
                 continue
             name = m[2].lower()
-            if name not in INLINE:
+            if name not in PHRASING:
                 self.breaks.append(len(self.texts))
             elif name == "br":
-                self.texts.append((stack[-1], " "))
+                self._text(stack[-1][1], " ")
             if m[1]:
                 self._close(stack, name)
-            else:
-                self._open(stack, name, m[3])
-                if name in RAW and not m[3].endswith("/"):
-                    skip = name
+                continue
+            raw = name in RAW and not _closed(m[3])
+            if raw and name not in unclosed:
+                end = _RAW_END[name].search(page, at)
+                if end or name in ("script", "style"):
+                    self._open(stack, name, m[3])
                     stack.pop()
-        if skip is None and at < len(page):
-            self._text(stack[-1], page[at:])
+                    at = end.start() if end else len(page)
+                    continue
+                unclosed.add(name)
+            self._open(stack, name, m[3])
+            if raw:
+                # Without its end it is an element that ends with its parent.
+                self.hidden[stack[-1][1]] = True
+        if at < len(page):
+            self._text(stack[-1][1], page[at:])
 
     def _text(self, element: int, text: str) -> None:
-        self.texts.append((element, entities.unescape(text)))
+        if not self.hidden[element]:
+            self.texts.append((element, entities.unescape(text)))
 
-    def _close(self, stack: list[int], name: str) -> None:
+    def _close(self, stack: list[tuple[str, int]], name: str) -> None:
         for k in range(len(stack) - 1, 0, -1):
-            if self.names[stack[k]] == name:
+            if stack[k][0] == name:
                 del stack[k:]
                 return
             # A stray inline end does not close a block.
-            if name in INLINE and self.names[stack[k]] not in INLINE:
+            if name in INLINE and stack[k][0] not in INLINE:
                 return
 
-    def _open(self, stack: list[int], name: str, attributes: str) -> None:
-        if name not in INLINE:
+    def _open(self, stack: list[tuple[str, int]], name: str, attributes: str) -> None:
+        if name in NOT_DRAWN and self.hidden[stack[-1][1]]:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] in HOLDS_PAGE or stack[k][0] in HIDDEN:
+                    if stack[k][0] == "svg":
+                        del stack[k:]
+                    break
+        if name not in PHRASING and name not in RAW and name not in HIDDEN:
             for k in range(len(stack) - 1, 0, -1):
-                inner = self.names[stack[k]]
+                inner = stack[k][0]
                 if inner in CLOSED_BY_BLOCK:
                     del stack[k:]
                     break
@@ -117,17 +146,26 @@ class Dom:
                     break
         if name in CLOSES_ITSELF:
             for k in range(len(stack) - 1, 0, -1):
-                inner = self.names[stack[k]]
+                inner = stack[k][0]
                 if inner in CLOSES_ITSELF[name]:
                     break
                 if inner == name:
                     del stack[k:]
                     break
-        self.names.append(name)
-        self.parents.append(stack[-1])
-        self.marks.append(attributes if "=" in attributes else "")
-        if name not in VOID and not attributes.endswith("/") or name in RAW:
-            stack.append(len(self.names) - 1)
+        element = stack[-1][1]
+        if not self.hidden[element]:
+            self.names.append(name)
+            self.parents.append(element)
+            self.marks.append(attributes if "=" in attributes else "")
+            self.hidden.append(name in HIDDEN)
+            element = len(self.names) - 1
+        if name not in VOID and not _closed(attributes):
+            stack.append((name, element))
+
+
+def _closed(attributes: str) -> bool:
+    """Whether a tag closes itself: its last slash is not the end of a value."""
+    return attributes.endswith("/") and max((m.end() for m in _ATTRIBUTE.finditer(attributes)), default=0) < len(attributes)
 
 
 def features(doms: list[Dom]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
