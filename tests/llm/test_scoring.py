@@ -254,6 +254,29 @@ def test_main_text_of_odd_pages(spark):
     assert html.extract_main_text(spark.createDataFrame([], kind)).collect() == []
 
 
+@pytest.mark.parametrize("mark, least", [(' class="{}"', 0.9), ("", 0.4)])
+def test_main_text_of_pages_without_article_elements(spark, mark, least):
+    import re
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").toPandas()
+    as_given = queries.QUERIES["op10_html_main_text"](spark, SF).toPandas().set_index("page_id").text
+    names = {"article": "content", "nav": "nav", "footer": "footer"}
+    for name, said in names.items():
+        pages["html"] = [re.sub(f"<{name}>", f"<div{mark.format(said)}>", x).replace(f"</{name}>", "</div>") for x in pages.html]
+    assert not pages.html.str.contains("<article|<main").any()
+    got = html.extract_main_text(spark.createDataFrame(pages)).toPandas()
+    assert len(got) == len(pages)
+    assert (got.text == as_given[got.page_id].to_numpy()).mean() > least
+    assert (got.text != "").mean() > 0.9
+
+
+def test_main_text_where_every_id_is_null(spark):
+    page = "<html><body><nav><a href=1>Home</a></nav><article><h1>T{0}</h1><p>{1}</p></article></body></html>"
+    rows = [(None, "u", page.format(k, "some words of a text. " * 8)) for k in range(60)]
+    got = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 60 and all("some words of a text." in r.text for r in got)
+
+
 def test_dom_closes_what_pages_leave_open():
     dom = html.Dom("<p>a<b>b<p>c</b> &amp d&eacute;<ul><li>x<li>y</ul><style>p{}</style>z<!-- no --><br>q")
     assert html.block_text(dom, np.ones(len(dom.names), bool)) == "ab\nc & dé\nx\ny\nz q"

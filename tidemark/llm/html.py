@@ -9,7 +9,8 @@ looked into. Second trees say how likely an element is to be mixed.
 
 The trees are fitted on a bounded sample of the pages themselves. Main text is not labelled, so
 the sample is taught by construction: the known article of a page is put, under varied markup,
-between blocks of known boilerplate whose words come from the same pages.
+between blocks of known boilerplate whose words come from the same pages. Where pages mark no
+article, articles are made of the words of all their text.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from tidemark.llm.boost import BoostedTrees
 
 # The most pages that are read for teaching.
 TEACHING_PAGES = 240
+# With fewer marked articles than this among them, made ones of their words fill up to the second number.
+LEAST_ARTICLES, MADE_ARTICLES = 50, 120
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -75,6 +78,9 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _LETTERS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_PART_NAMES = frozenset("article main section nav header footer aside form".split())
+_PARTS = re.compile(rf"<(/?)(?:{'|'.join(sorted(_PART_NAMES))})\b")
+_SAYS = re.compile(r' (?:class|id)="[^"]*"')
 
 
 class Dom:
@@ -344,12 +350,34 @@ def _boilerplate(rng: random.Random, words: list[str]) -> str:
     return tag("div ul", "share social tags pagination author meta", "".join(f'<a href="#">{some(1, 1)}</a> ' for _ in range(rng.randint(2, 5))))
 
 
+def _marked(dom: Dom) -> bool:
+    """Whether a page says of any part, by name or attributes, what it is."""
+    if not _PART_NAMES.isdisjoint(dom.names):
+        return True
+    said = (m[2] or m[3] or m[4] or "" for marks in dom.marks if marks for m in _MARKS.finditer(marks))
+    return any(word in _TOKEN_AT for value in said for word in _LETTERS.findall(value.lower()))
+
+
+def _article(rng: random.Random, words: list[str]) -> list[str]:
+    """A made article: a title and paragraphs of sentences."""
+
+    def sentence(low: int, high: int) -> str:
+        some = [rng.choice(words) for _ in range(rng.randint(low, high))]
+        return " ".join(w + "," if rng.random() < 0.06 else w for w in some)
+
+    def paragraph() -> str:
+        if rng.random() < 0.15:
+            return sentence(1, 4) + "."
+        return " ".join(sentence(2, 25) + "." for _ in range(rng.randint(1, 8)))
+
+    return [sentence(2, 12), *(paragraph() for _ in range(rng.randint(1, 12)))]
+
+
 def teaching_pages(pages: list[str], seed: int = 5) -> list[tuple[str, list[bool]]]:
     """Pages with known main text: element by element, whether its text is main."""
     rng = random.Random(seed)
-    taken = []
-    for page in pages:
-        dom = Dom(page)
+    doms, taken = [Dom(page) for page in pages], []
+    for dom in doms:
         for k, name in enumerate(dom.names):
             if name in ("article", "main"):
                 inside = np.zeros(len(dom.names), bool)
@@ -359,9 +387,18 @@ def teaching_pages(pages: list[str], seed: int = 5) -> list[tuple[str, list[bool
                 if text:
                     taken.append([entities.escape(line, quote=False) for line in text.split("\n")])
                 break
+    marked = len(taken)
+    # As many made pages as of the given ones mark nothing by name, class or id.
+    bare = sum(not _marked(d) for d in doms) / max(1, len(doms))
+    if marked < LEAST_ARTICLES:
+        # Words as they lie in the page, so that those of the longest texts are the most; without any, known ones.
+        every = [entities.escape(w.strip(".,"), quote=False) for d in doms for _, text in d.texts for w in text.split()]
+        every = [w for w in every if w] or list(TOKENS)
+        made = random.Random(seed + 1)
+        taken += [_article(made, every) for _ in range(MADE_ARTICLES - marked)]
     words = [w for lines in taken for line in lines for w in line.split()][:20_000]
     out = []
-    for lines in taken:
+    for number, lines in enumerate(taken):
         for k in range(2):
             if k and rng.random() < 0.2:  # a page of two short lines
                 lines = [line[: rng.randint(12, 45)].rsplit("&", 1)[0] or "x" for line in lines[:2]]
@@ -395,15 +432,15 @@ def teaching_pages(pages: list[str], seed: int = 5) -> list[tuple[str, list[bool
             wrap = rng.random()
             if wrap < 0.4:
                 text = f'<div class="{rng.choice(["page", "container", "wrapper"])}">{text}</div>'
+            if number >= marked and rng.random() < bare:
+                text = _SAYS.sub("", _PARTS.sub(r"<\1div", text))
             out.append(f"<html><head><title>{lines[0]}</title></head><body>{text}</body></html>")
     return out
 
 
-def teach(pages: list[str]) -> tuple[BoostedTrees, BoostedTrees] | None:
-    """Trees for main and for mixed elements, fitted on teaching pages; None without a page to learn from."""
+def teach(pages: list[str]) -> tuple[BoostedTrees, BoostedTrees]:
+    """Trees for main and for mixed elements, fitted on teaching pages."""
     taught = teaching_pages(pages)
-    if not taught:
-        return None
     rows, labels, weights, mixes = [], [], [], []
     for at in range(0, len(taught), 50):
         doms, marks = [], []
@@ -445,9 +482,15 @@ def extract_texts(pages: list[str], model: tuple[BoostedTrees, BoostedTrees]) ->
 
 
 def teaching_sample(pages: DataFrame) -> list[str]:
-    """The pages of the ``TEACHING_PAGES`` smallest id hashes; ids are ranked first, then their pages are read."""
+    """The pages of the ``TEACHING_PAGES`` smallest id hashes; ids are ranked first, then their pages are read.
+
+    Without any id they are those of the smallest hashes of the pages themselves.
+    """
     known = pages.where("html is not null and page_id is not null")
     ids = known.select("page_id").orderBy(F.xxhash64("page_id", F.lit(3)), "page_id").limit(TEACHING_PAGES).collect()
+    if not ids:
+        rest = pages.where("html is not null").select("html").orderBy(F.xxhash64("html"), "html")
+        return [r.html for r in rest.limit(TEACHING_PAGES).collect()]
     wanted = known.where(F.col("page_id").isin([r.page_id for r in ids]))
     return [r.html for r in wanted.select("html", "page_id").limit(TEACHING_PAGES).collect()]
 
@@ -458,7 +501,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     A null or empty page, and one without main text, has an empty text. Character references are
     decoded as HTML does, white space inside a block is one space, blocks are lines. Repeated
     rows and null ids are pages like others. Other columns are ignored. An empty table gives an
-    empty result. The trees are fitted on ``TEACHING_PAGES`` pages, those of the smallest hash.
+    empty result. The trees are fitted on ``TEACHING_PAGES`` pages, those of the smallest hash;
+    if fewer than ``LEAST_ARTICLES`` of them have an ``article`` or ``main`` element with text,
+    made articles of the words of all these pages teach, too.
     """
     model = teach(teaching_sample(pages))
 
@@ -466,7 +511,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for part in frames.text_slices(batch, "html", 1 << 20):
                 texts = [x or "" for x in part.column("html").to_pylist()]
-                texts = extract_texts(texts, model) if model is not None else [""] * len(texts)
+                texts = extract_texts(texts, model)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("page_id"),
