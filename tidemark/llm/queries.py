@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import codes, exact, html, langid, mix, near, pack, quality, spans, tokens
+from tidemark.llm import align, chat, codes, exact, html, langid, merkle, mix, near, pack, quality, spans, tokens
 from tidemark.llm.frames import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,81 @@ def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_quality_classifier")
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# A field of a leaf, and the CRC-32 of an id's decimal digits, bit by bit.
+_FIELD = "coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || {x}, '-')"
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: [unicode(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END))"""
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return f"sha256({' || '.join(_FIELD.format(x=x) for x in fields)})"
+
+
+@query(
+    "op11_merkle_manifest",
+    f"""
+    WITH RECURSIVE leaves AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+        FROM (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+                     CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS seen FROM documents)),
+    t AS (SELECT coalesce('1' || lang, '0') AS k, 0 AS level, i, leaf AS h, n FROM leaves
+          UNION ALL SELECT k, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), max((n + 1) // 2) FROM t WHERE n > 1 GROUP BY k, level, i // 2),
+    subroots AS (SELECT k, h, row_number() OVER (ORDER BY encode(k)) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+    u AS (SELECT 0 AS level, i, h, n FROM subroots
+          UNION ALL SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), max((n + 1) // 2) FROM u WHERE n > 1 GROUP BY level, i // 2),
+    root AS (SELECT h AS root FROM u WHERE n = 1),
+    places AS (SELECT doc_id, leaf, seen, coalesce('1' || lang, '0') AS k, leaves.i, s.i AS j, s.h AS subroot
+               FROM leaves JOIN subroots s ON s.k = coalesce('1' || lang, '0')),
+    siblings AS (
+        SELECT p.k, p.i, a.level AS step, CASE WHEN b.h IS NULL THEN 'N' WHEN b.i < a.i THEN 'L' ELSE 'R' END || coalesce(b.h, '') AS s
+        FROM places p JOIN t a ON a.k = p.k AND a.n > 1 AND a.i = p.i >> a.level
+        LEFT JOIN t b ON b.k = a.k AND b.level = a.level AND b.i = xor(a.i, 1)
+        UNION ALL
+        SELECT p.k, p.i, 1000 + a.level, CASE WHEN b.h IS NULL THEN 'N' WHEN b.i < a.i THEN 'L' ELSE 'R' END || coalesce(b.h, '')
+        FROM places p JOIN u a ON a.n > 1 AND a.i = p.j >> a.level LEFT JOIN u b ON b.level = a.level AND b.i = xor(a.i, 1)),
+    steps AS (SELECT k, i, list(s ORDER BY step) AS s FROM siblings GROUP BY 1, 2),
+    folds AS (SELECT doc_id, leaf, subroot, root,
+              sha256(array_to_string(list_transform(coalesce(s, []), lambda x: x[2:]), '')) AS proof_sha256,
+              list_reduce(list_prepend(seen, coalesce(s, [])), lambda a, x: sha256(CASE x[1] WHEN 'L' THEN x[2:] || a ELSE a || x[2:] END)) AS folded_root
+              FROM places LEFT JOIN steps USING (k, i), root)
+    SELECT *, folded_root = root AS verified FROM folds
+    """,
+)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proved_leaves(table(spark, sf_dir, "documents"))
+
+
+@query("op12_cross_tokenizer_alignment")
+def cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned_documents(table(spark, sf_dir, "documents"))
+
+
+def _escaped(text: str) -> str:
+    """SQL for the escaped text: no control string overlaps another, so they can be replaced one by one."""
+    out = f"replace({text}, '\\', '\\\\')"
+    for control in chat.CONTROLS:
+        out = f"replace({out}, '{control}', '{control[0]}\\{control[1:]}')"
+    return out
+
+
+@query(
+    "op13_chat_formatting",
+    f"""
+    WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+    e AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS said, length({_escaped("text")}) AS chars,
+                 CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 5 WHEN 'system' THEN 15
+                      ELSE 18 + length({_escaped("role")}) END AS marks FROM m)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(sum(length(said)) AS BIGINT) AS loss_chars, sha256(string_agg(said, '' ORDER BY turn, role, text)) AS loss_sha256,
+           CAST(sum(chars + marks) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY 1
+    """,
+)
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_conversations(turns.unionByName(chat.marked_conversation(spark))))
