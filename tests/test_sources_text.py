@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import textfn
-from tidemark.operators import checks, corpus, extract, ordered, vectors
+from tidemark.operators import checks, corpus, extract, merges, ordered, vectors
 from tidemark.sources import contracts, corpora, feeds, tables
 from tidemark.sources.contracts import ContractError
 from tidemark.sources.tables import CacheMissing, CachePolicy
@@ -268,12 +268,61 @@ def test_merges_match_a_plain_loop(spark, sf, source):
         steps = 25
     counts = corpus.pretoken_counts(df)
     freqs = {r["token"]: r["freq"] for r in counts.collect()}
-    trained = corpus.train_merges(counts, steps, stage_every=4)
+    trained = merges.train_merges(counts, steps)
     assert [h[1:] for h in trained.history] == plain_merges(freqs, steps)
     vocabulary = trained.vocabulary()
     assert len(vocabulary) == 257 + len(trained.pairs) and vocabulary[256] == b"<|endoftext|>"
 
 
+@pytest.mark.parametrize("held", [2, 20])
+def test_merges_with_few_held_pairs(spark, held):
+    # "aab" and "ab" lead to one symbol on two ways; "aaaa" overlaps itself.
+    words = {"aab": 9, "ab": 8, "aaaa": 7, "abab": 5, "baab": 5, "cd": 5, "cdcd": 4, "é": 3, "x": 50, "aabaab": 2}
+    counts = spark.createDataFrame(list(words.items()), "token string, freq long")
+    trained = merges.train_merges(counts, 14, held=held)
+    assert [h[1:] for h in trained.history] == plain_merges(words, 14)
+    assert held == 20 or trained.rankings > 1
+
+
+def test_a_symbol_made_on_two_ways(spark):
+    rng = np.random.default_rng(5)
+    words = {"".join(rng.choice(list("abc"), rng.integers(1, 9))): int(rng.integers(1, 9)) for _ in range(200)}
+    counts = spark.createDataFrame(list(words.items()), "token string, freq long")
+    trained = merges.train_merges(counts, 25, held=15)
+    assert [h[1:] for h in trained.history] == plain_merges(words, 25)
+    joined = [a + b for a, b in trained.pairs]
+    assert len(joined) > len(set(joined))
+
+
+def test_a_pass_reads_the_words_of_its_pairs_only(spark, sf):
+    counts = corpus.pretoken_counts(spark.read.parquet(f"{sf}/documents.parquet").select("text")).cache()
+    trained = merges.train_merges(counts, 40)
+    freqs = {tuple(bytes([b]) for b in r["token"].encode()): r["freq"] for r in counts.collect()}
+    at, read = 0, 0
+    for one in trained.passes:
+        pairs = [tuple(bytes.fromhex(x) for x in p) for p in trained.pairs[at : at + one.merges]]
+        touched = sum(any(p in pairs for p in zip(w, w[1:], strict=False)) for w in freqs)
+        assert one.words_touched == touched
+        # Void postings are few: pairs that other merges took from a word.
+        assert one.postings_read <= 2 * touched + 20
+        for a, b in pairs:
+            merged = {}
+            for w, f in freqs.items():
+                new = []
+                for s in w:
+                    if new and new[-1] == a and s == b:
+                        new[-1] = (a + b, "joined")
+                    else:
+                        new.append(s)
+                new = tuple(x[0] if isinstance(x, tuple) else x for x in new)
+                merged[new] = merged.get(new, 0) + f
+            freqs = merged
+        at += one.merges
+        read += one.postings_read
+    assert read < len(trained.passes) * len(freqs) / 4
+    counts.unpersist()
+
+
 def test_merge_pair_does_not_overlap(spark):
     row = spark.range(1).select(
         textfn.merge_pair(F.array(*(F.lit("61") for _ in range(5))), "61", "61").alias("a"),

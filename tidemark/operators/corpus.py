@@ -1,15 +1,12 @@
-"""Text corpus profile, pre-tokens and byte-pair merges."""
+"""Text corpus profile, pre-tokens and counts of byte pairs."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import textfn
-from tidemark.session import stage
-from tidemark.sources.corpora import SEPARATOR, SPACE
+from tidemark.sources.corpora import SPACE
 
 # Fixed value: the public GPT-2 pre-tokenisation pattern. \s is spelled out,
 # because Java's \s is ASCII only.
@@ -131,85 +128,3 @@ def token_total(words: DataFrame) -> DataFrame:
             "total"
         )
     )
-
-
-@dataclass
-class Merges:
-    """Result of training: merges in order, and the history of each step."""
-
-    total_before: int
-    pairs: list[tuple[str, str]] = field(default_factory=list)
-    history: list[tuple[int, str, str, int, int]] = field(default_factory=list)
-
-    def vocabulary(self, special: tuple[str, ...] = (SEPARATOR,)) -> list[bytes]:
-        """256 bytes, then the special tokens, then the merges."""
-        base = [bytes([i]) for i in range(256)]
-        base += [token.encode("utf-8") for token in special]
-        return base + [bytes.fromhex(a + b) for a, b in self.pairs]
-
-
-def independent_prefix(ranked: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
-    """The head of the ranking that one pass may merge, still in exact order.
-
-    A merge of (a, b) only changes pairs that hold a or b, and a new pair with
-    the joined symbol is at most as frequent as the pair of its parts that was
-    in the ranking. So the next pair stays the true maximum as long as no pair
-    ranked level with it or above shares a symbol with the merges before it.
-    """
-    taken: list[tuple[str, str, int]] = []
-    used: set[str] = set()
-    for position, (a, b, n) in enumerate(ranked):
-        if taken:
-            level = [p for p in ranked[position:] if p[2] == n]
-            # A tie that runs past the fetched ranking cannot be judged.
-            open_tie = ranked[-1][2] == n
-            if open_tie or any(x in used or y in used for x, y, _ in level):
-                break
-        taken.append((a, b, n))
-        used |= {a, b}
-        if a == b:
-            break  # overlapping repeats: the new total must be counted
-    return taken
-
-
-def train_merges(
-    counts: DataFrame, merges: int, ranking: int = 64, stage_every: int = 16
-) -> Merges:
-    """Greedy byte-pair training on distinct pre-tokens.
-
-    The corpus is read once for ``counts``. Each pass is one distributed pair
-    count; the driver sees a short ranking of it and merges its independent
-    head. Words are rewritten by expressions and written to the shared folder
-    every few passes, so lineage stays short.
-    """
-    counts = stage(counts)
-    words = stage(words_table(counts, counts.count() // WORDS_PER_PART))
-    total = token_total(words).first()["total"]
-    out = Merges(total_before=total)
-    passes = 0
-    while len(out.pairs) < merges:
-        ranked = [
-            (r["left"], r["right"], r["n"]) for r in best_pairs(pair_counts(words), ranking).collect()
-        ]
-        if not ranked:
-            break
-        for a, b, n in independent_prefix(ranked)[: merges - len(out.pairs)]:
-            words = words.withColumn("word", textfn.merge_fenced(F.col("word"), a, b))
-            total = total - n if a != b else token_total(words).first()["total"]
-            out.history.append((len(out.pairs), a, b, n, total))
-            out.pairs.append((a, b))
-        passes += 1
-        if passes % stage_every == 0:
-            words = stage(words)
-    return out
-
-
-def history_frame(spark, result: Merges) -> DataFrame:
-    """The merge history as a table (one short row per merge)."""
-    rows = [
-        (step, a, b, n, total, result.total_before / total if total else None)
-        for step, a, b, n, total in result.history
-    ]
-    return spark.createDataFrame(
-        rows, "step int, left string, right string, n long, total long, ratio double"
-    )

@@ -8,13 +8,16 @@ cost of a fit is one aggregation whatever the number of rows or folds.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import timefn
+from tidemark.session import stage_table
 
 # Up to this many design columns the moments are one SQL aggregate; a wider
 # design needs a sum per pair of columns, which a matrix product does better.
@@ -287,36 +290,156 @@ class NotConverged(ValueError):
     """A robust fit that has not settled within its passes."""
 
 
-def fit_robust(
-    df: DataFrame,
-    features: Sequence[str],
-    target: str,
-    loss: str,
-    iterations: int = 50,
-    tolerance: float = 1e-10,
-) -> DataFrame:
-    """Robust fit by re-weighted least squares.
+# Steps tried in one pass: how far to lean from the Newton direction to the re-weighted
+# one, and how far to go along it.
+LEANINGS = (1e-4, 1e-2, 1e-1, 0.3, 1.0, 10.0)
+LENGTHS = (4.0, 1.0, 0.5, 0.125)
+# From one pass to the next the scale of the loss falls by this factor, down to 1.
+SCALE_FALL = 20.0
+# Sums of losses are known to this share of themselves.
+LOSS_ROUNDING = 1e-12
+# Tasks that add up the sums of all others, before the driver adds theirs.
+ADDERS = 8
+
+
+def _loss_terms(loss: str, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The loss at residuals, half its slope, and half its curvature where that is not negative."""
+    z = r * r
+    if loss == "soft_l1":
+        root = np.sqrt(1.0 + z)
+        return 2.0 * (root - 1.0), r / root, root**-3.0
+    if loss == "huber":
+        size = np.abs(r)
+        return np.where(z <= 1.0, z, 2.0 * size - 1.0), np.clip(r, -1.0, 1.0), (z <= 1.0).astype(float)
+    if loss == "cauchy":
+        return np.log1p(z), r / (1.0 + z), np.maximum((1.0 - z) / (1.0 + z) ** 2, 0.0)
+    raise ValueError(f"unknown loss {loss!r}")
+
+
+def _sums_at(x: np.ndarray, y: np.ndarray, loss: str, points: np.ndarray, scale: float) -> np.ndarray:
+    """For each point: the loss, its gradient, and the upper halves of two curvature matrices.
+
+    The first is that of the loss, the second that of its weighted least squares.
+    """
+    width = x.shape[1]
+    upper = np.triu_indices(width)
+    residuals = (y[:, None] - x @ points.T) / scale
+    out = []
+    for r in residuals.T:
+        value, slope, curvature = _loss_terms(loss, r)
+        weight = np.divide(slope, r, out=np.ones_like(r), where=r != 0)
+        newton, weighted = (x * curvature[:, None]).T @ x, (x * weight[:, None]).T @ x
+        out.append(np.concatenate([[value.sum()], x.T @ slope, newton[upper], weighted[upper]]))
+    return np.concatenate(out)
+
+
+def _robust_sums(rows: DataFrame, loss: str, points: np.ndarray, scale: float) -> np.ndarray:
+    """Sums over all rows ``x, y`` for all points, in one aggregate."""
+    width, size = points.shape[1], len(points) * (1 + points.shape[1] * (points.shape[1] + 2))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, width)
+            total += _sums_at(x, batch.column("y").to_numpy(), loss, points, scale)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], names=["packed"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            total += batch.column("packed").flatten().to_numpy().reshape(-1, size).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], names=["packed"])
 
-    Each pass is one aggregate over the rows; between passes only the
-    coefficients (one number per design column) visit the driver, as literals
-    of the next pass, so lineage does not grow. Stopping short of convergence
-    is an error.
+    parts = rows.mapInArrow(partial, "packed array<double>").repartition(ADDERS)
+    added = parts.mapInArrow(add, "packed array<double>").collect()
+    return np.sum([r["packed"] for r in added], axis=0).reshape(len(points), -1)
+
+
+def _unpacked(sums: np.ndarray, width: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    half = width * (width + 1) // 2
+    cells = np.split(sums[1:], [width, width + half])
+
+    def square(upper: np.ndarray) -> np.ndarray:
+        full = np.zeros((width, width))
+        full[np.triu_indices(width)] = upper
+        return full + np.triu(full, 1).T
+
+    return sums[0], cells[0], square(cells[1]), square(cells[2])
+
+
+@dataclass(frozen=True)
+class RobustSteps:
+    """Coefficients of a robust fit, the passes over the rows it took, and what is left of the gradient.
+
+    The gradient is that of the mean loss, for each column in units of the column's root mean square.
     """
-    packed = moments(df, features, target)
-    beta = solve_packed(packed.first()["packed"])[0]
+
+    coefficients: list[float]
+    passes: int
+    gradient: float
+
+
+def robust_steps(
+    df: DataFrame, features: Sequence[str], target: str, loss: str, iterations: int = 50, tolerance: float = 1e-8
+) -> RobustSteps:
+    """Minimise a robust loss by safeguarded Newton steps, one aggregate over the rows for each.
+
+    An aggregate takes the loss, its gradient and its curvature at many points at once: steps of several
+    lengths in directions between Newton's, which is right near the minimum, and that of re-weighted
+    least squares, which is safe far from it. The point with the least loss is the next one.
+    The scale of the loss starts at the residuals' own and falls to 1, so that the curvature
+    is never that of a few rows. Stopping short of a gradient near zero is an error.
+    """
+    _loss_terms(loss, np.zeros(1))
+    packed = moments(df, features, target).first()["packed"]
+    start, _, _, _, variance, n = solve_packed(packed)
+    point, width = np.array(start), len(start)
+    diagonal = np.array(packed[HEAD:])[[i for i, (a, b) in enumerate(_pairs(width + 1)) if a == b < width]]
+    unit = np.where(diagonal > 0, np.sqrt(diagonal / n), 1.0)
+    scale = max(1.0, np.sqrt(variance)) if np.isfinite(variance) else 1.0
+    cells = _design_row(features, target, True)
+    complete = F.col(target).isNotNull()
+    for c in features:
+        complete = complete & F.col(c).isNotNull()
+    rows = stage_table(df.where(complete).select(F.array(*cells[:-1]).alias("x"), cells[-1].alias("y")), "robust")
+    points, passes = point[None, :], 1
+    change = float("inf")
+    while passes <= iterations:
+        sums = [_unpacked(row, width) for row in _robust_sums(rows, loss, points, scale)]
+        passes += 1
+        best = int(np.argmin([s[0] for s in sums]))
+        point, (_, gradient, newton, weighted) = points[best], sums[best]
+        change = float(np.max(np.abs(gradient) / unit) / n)
+        if scale == 1.0 and change <= tolerance:
+            return RobustSteps(point.tolist(), passes, change)
+        outer = np.outer(unit, unit)
+        ways = [np.linalg.pinv((newton + lean * weighted) / outer, rcond=PINV_CUTOFF, hermitian=True) for lean in LEANINGS]
+        steps = [way @ (gradient / unit) / unit * scale for way in ways]
+        points = np.array([point] + [point + length * step for step in steps for length in LENGTHS])
+        scale = max(1.0, scale / SCALE_FALL)
+    raise NotConverged(f"{loss} fit has a gradient of {change:.3g} after {iterations} passes")
+
+
+def fit_robust(
+    df: DataFrame, features: Sequence[str], target: str, loss: str, iterations: int = 50, tolerance: float = 1e-8
+) -> DataFrame:
+    """One row of results like :func:`fit_ols`; errors are those of the weighted least squares at the fit."""
     if loss == "linear":
-        return solve(packed)
-    for _ in range(iterations):
-        literal = F.array(*(F.lit(float(b)) for b in beta))
-        residual = F.col(target).cast("double") - dot(features, literal)
-        weighted = df.withColumn("__weight", loss_weight(loss, residual))
-        packed = moments(weighted, features, target, weight="__weight")
-        new = solve_packed(packed.first()["packed"])[0]
-        change = max(abs(a - b) for a, b in zip(new, beta, strict=True))
-        beta = new
-        if change <= tolerance * max(1.0, max(abs(b) for b in new)):
-            return solve(packed)
-    raise NotConverged(f"{loss} fit still moves by {change:.3g} after {iterations} passes")
+        return solve(moments(df, features, target))
+    beta = robust_steps(df, features, target, loss, iterations, tolerance).coefficients
+    residual = F.col(target).cast("double") - dot(features, F.array(*(F.lit(float(b)) for b in beta)))
+    weighted = df.withColumn("__weight", loss_weight(loss, residual))
+    return solve(moments(weighted, features, target, weight="__weight"))
+
+
+def robust_gradient(df: DataFrame, fits: DataFrame, features: Sequence[str], target: str, loss: str) -> DataFrame:
+    """``parameter, gradient``: the mean loss's gradient at a fit by each coefficient, from the rows themselves."""
+    scored = apply_fit(df, fits, features, name="__fit")
+    residual = F.col(target).cast("double") - F.col("__fit")
+    pull = loss_weight(loss, residual) * residual
+    named = zip(design(features), [F.lit(1.0), *(F.col(c).cast("double") for c in features)], strict=True)
+    means = scored.agg(*(F.avg(pull * x).alias(name) for name, x in named))
+    return means.unpivot([], design(features), "parameter", "gradient")
 
 
 def hinge_slopes(

@@ -95,10 +95,6 @@ def index_rows(
     )
 
 
-def add_to_index(index: DataFrame, more: DataFrame) -> DataFrame:
-    return index.unionByName(more)
-
-
 def _unit(matrix: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(norms == 0, 1.0, norms)

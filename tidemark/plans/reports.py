@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tidemark.operators import corpus, extract
+from tidemark.operators import corpus, extract, merges
 
 
 def extraction_report(
@@ -18,12 +18,12 @@ def extraction_report(
     return {"agreement": extract.agreement(compared), "first": head, "more": more}
 
 
-def corpus_report(documents: DataFrame, merges: int, text: str = "text") -> dict[str, object]:
+def corpus_report(documents: DataFrame, steps: int, text: str = "text") -> dict[str, object]:
     """Profile, non-ASCII inventory, pre-token counts and trained merges."""
     counts = corpus.pretoken_counts(documents, text)
     return {
         "profile": corpus.profile(documents, text),
         "non_ascii": corpus.non_ascii_top(documents, text),
         "pretokens": counts,
-        "merges": corpus.train_merges(counts, merges),
+        "merges": merges.train_merges(counts, steps),
     }

@@ -30,6 +30,7 @@ def load_all() -> None:
     from workload import (  # noqa: F401
         backtests,
         corpora,
+        drift,
         ordering,
         outages,
         series,

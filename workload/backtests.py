@@ -242,7 +242,47 @@ def weather_response_fit(spark, sf):
     return _ols_columns(regress.fit_ols(wide, names, "nd_mw"))
 
 
-@query("weather_response_full")
+def _design_sql(diurnal, weekly):
+    """The columns of the weather response after the intercept."""
+    hours = "(epoch(timestamp_utc) / 3600e0)"
+    pairs = [("diurnal", 24, k) for k in range(1, diurnal + 1)] + [("weekly", 168, k) for k in range(1, weekly + 1)]
+    waves = [(f"{name}_{f}_k{k}", f"{f}(2e0 * pi() * {k} * {hours} / {period})") for name, period, k in pairs for f in ("sin", "cos")]
+    return [("hdd", "greatest(0e0, 15.5 - temperature_2m)"), ("cdd", "greatest(0e0, temperature_2m - 22)"), *waves]
+
+
+def _solved(columns, by="", source="rows"):
+    """SQL for the normal equations of ``rows(x, y)``, reduced to (coefficients, inverse) column by column.
+
+    ``m`` holds rows of the moment matrix, its right side, and the unit matrix; a step of the
+    recursion clears one column.
+    """
+    p = columns + 1
+    cell = {(i, j): f"sum(x[{i + 1}] * x[{j + 1}])" for i in range(p) for j in range(p)}
+    eye = [["1e0" if i == j else "0e0" for j in range(p)] for i in range(p)]
+    rows = ", ".join(
+        "[" + ", ".join([*(cell[i, j] for j in range(p)), f"sum(x[{i + 1}] * y)", *eye[i]]) + "]" for i in range(p)
+    )
+    key, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+    return f"""moments AS (SELECT {key}count(*) AS n, sum(y) AS sy, sum(y * y) AS yy, [{rows}] AS m FROM {source} {group}),
+steps AS (SELECT {key}n, sy, yy, 1 AS k, m, m AS m0 FROM moments UNION ALL
+SELECT {key}n, sy, yy, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k])
+ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END), m0 FROM steps WHERE k <= {p}),
+solved AS (SELECT {key}n, sy, yy, list_transform(m, lambda r: r[{p + 1}]) AS b, m, m0 FROM steps WHERE k = {p + 1})"""
+
+
+_FULL = _design_sql(3, 2)
+_FULL_NAMES = ["intercept", *(name for name, _ in _FULL)]
+
+
+@query(
+    "weather_response_full",
+    f"""WITH RECURSIVE {FEATURES}, rows AS (SELECT CAST(nd_mw AS DOUBLE) AS y, [1e0, {", ".join(x for _, x in _FULL)}] AS x FROM features WHERE nd_mw IS NOT NULL AND temperature_2m IS NOT NULL),
+{_solved(len(_FULL))},
+spread AS (SELECT *, (yy - list_sum(list_transform(b, lambda v, i: v * m0[i][{len(_FULL) + 2}]))) / (n - {len(_FULL) + 1}) AS s2 FROM solved),
+cells AS (SELECT unnest({_FULL_NAMES}) AS parameter, unnest(range(1, {len(_FULL) + 2})) AS i, b, m, s2 FROM spread),
+c AS (SELECT parameter, b[i] AS value, sqrt(m[i][{len(_FULL) + 2} + i] * s2) AS std_error FROM cells)
+SELECT parameter, round(value, 4) AS value, round(std_error, 4) AS std_error, round(value - 1.96 * std_error, 4) AS low, round(value + 1.96 * std_error, 4) AS high FROM c""",
+)
 def weather_response_full(spark, sf):
     """All 13 parameters with standard errors and intervals."""
     rows = roles.feature_rows(spark, sf)
@@ -251,15 +291,36 @@ def weather_response_full(spark, sf):
     return rounded(regress.coefficient_table(fits, regress.design(names)), 4)
 
 
+_ROBUST = ["intercept", *(name for name, _ in _design_sql(1, 0))]
+
+
+def _robust_design(spark, sf):
+    return regress.weather_response_design(stage(roles.feature_rows(spark, sf)), diurnal=1, weekly=0)
+
+
 @query("weather_response_robust")
 def weather_response_robust(spark, sf):
     """Robust refit of the hinged response, Huber loss."""
-    rows = stage(roles.feature_rows(spark, sf))
-    wide, names = regress.weather_response_design(rows, diurnal=1, weekly=0)
-    fits = regress.fit_robust(wide, names, "nd_mw", "huber", iterations=100, tolerance=1e-6)
+    wide, names = _robust_design(spark, sf)
+    fits = regress.fit_robust(wide, names, "nd_mw", "huber")
     return rounded(regress.coefficient_table(fits, regress.design(names)), 3)
 
 
+@query(
+    "weather_response_robust_gradient",
+    f"SELECT loss, parameter, 0e0 AS gradient FROM (SELECT unnest(['huber', 'soft_l1']) AS loss), (SELECT unnest({_ROBUST}) AS parameter)",
+)
+def weather_response_robust_gradient(spark, sf):
+    """The mean loss's gradient at the fitted coefficients, taken from the rows: zero at the minimum, as the losses are convex."""
+    wide, names = _robust_design(spark, sf)
+    out = None
+    for loss in ("huber", "soft_l1"):
+        fits = regress.fit_robust(wide, names, "nd_mw", loss)
+        part = regress.robust_gradient(wide, fits, names, "nd_mw", loss).withColumn("loss", F.lit(loss))
+        out = part if out is None else out.unionByName(part)
+    return out.select("loss", "parameter", (F.round("gradient", 4) + F.lit(0.0)).alias("gradient"))
+
+
 @query(
     "hinge_slopes",
     f"""WITH {_RESPONSE}, m AS (SELECT avg(y) AS m FROM rows)

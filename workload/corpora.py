@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import textfn
-from tidemark.operators import corpus
-from tidemark.session import scratch_path, stage
+from tidemark.operators import corpus, merges
+from tidemark.session import scratch_path, spread_scan
 from tidemark.sources import corpora
 from workload import query, roles
 from workload.roles import rounded
@@ -17,7 +17,7 @@ _STRIP = f"regexp_replace(regexp_replace(text, '^[{_WS}]+', ''), '[{_WS}]+$', ''
 
 
 def documents(spark, sf):
-    docs = roles.table(spark, sf, "documents")
+    docs = spread_scan(roles.table(spark, sf, "documents").select("doc_id", "text"))
     return docs.select("doc_id", corpora.strip(F.col("text")).alias("text"))
 
 
@@ -103,12 +103,26 @@ def merge_one_pair(spark, sf):
     )
 
 
-@query("byte_pair_training")
+# Every generation of words holds the merge that made it.
+_TRAINED = f"""WITH RECURSIVE {_TOKENS},
+gen AS (
+  SELECT -1 AS step, regexp_replace(hex(encode(token)), '(..)', '|\\1|', 'g') AS w, freq, '' AS "left", '' AS "right", CAST(0 AS BIGINT) AS n FROM counts
+  UNION ALL
+  SELECT step + 1, replace(w, '|' || b.l || '||' || b.r || '|', '|' || b.l || b.r || '|'), freq, b.l, b.r, b.n
+  FROM gen, (SELECT p[1] AS l, p[2] AS r, CAST(sum(freq) AS BIGINT) AS n
+             FROM (SELECT freq, unnest(list_zip(s[:-2], s[2:])) AS p FROM (SELECT freq, string_split(trim(w, '|'), '||') AS s FROM gen))
+             GROUP BY 1, 2 ORDER BY n DESC, l DESC, r DESC LIMIT 1) b
+  WHERE step < 47),
+sizes AS (SELECT step, any_value("left") AS "left", any_value("right") AS "right", any_value(n) AS n,
+          CAST(sum(freq * len(string_split(trim(w, '|'), '||'))) AS BIGINT) AS total FROM gen GROUP BY 1)
+SELECT s.step, s."left", s."right", s.n, s.total, round(b.total / s.total, 6) AS ratio FROM sizes s, sizes b WHERE b.step = -1 AND s.step >= 0"""
+
+
+@query("byte_pair_training", _TRAINED)
 def byte_pair_training(spark, sf):
     """The first 48 merges over all documents with their history."""
     counts = corpus.pretoken_counts(documents(spark, sf))
-    trained = corpus.train_merges(counts, 48)
-    return rounded(corpus.history_frame(spark, trained))
+    return rounded(merges.history_frame(spark, merges.train_merges(counts, 48)))
 
 
 @query(

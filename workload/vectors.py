@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import textfn
-from tidemark.operators import vectors
+from tidemark.operators import clusters, vectors
 from tidemark.plans import retrieval
 from tidemark.session import scratch_path
 from workload import query, roles
@@ -71,6 +71,39 @@ def cosine_top_k_of_all(spark, sf):
     return vectors.top_k(indexed, asked, 4)
 
 
+_OF_ALL = """s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"""
+
+
+def _identified(rows, name):
+    return rows.select(F.col("vec_id").alias(name), F.col("embedding").alias("vector"))
+
+
+@query(
+    "indexed_top_k_of_all",
+    f"""WITH {_OF_ALL} SELECT query_id, id, score, rank, true AS few_vectors_read FROM r WHERE rank <= 4""",
+)
+def indexed_top_k_of_all(spark, sf):
+    """The same through the clustered index, with whether a question read less than half of the vectors."""
+    rows = roles.table(spark, sf, "embeddings")
+    index = clusters.build_index(_identified(rows, "id"), scratch_path(spark, "index"))
+    found = clusters.search(index, _identified(rows, "query_id"), 4)
+    few = F.col("vectors_read") < F.lit(int(index.rows.sum()) / 2)
+    return found.select("query_id", "id", "score", "rank", few.alias("few_vectors_read"))
+
+
+@query(
+    "appended_index_search",
+    f"""WITH {_TOP} SELECT query_id, id, score, rank FROM r WHERE rank <= 10""",
+)
+def appended_index_search(spark, sf):
+    """An index of half of the vectors, the others appended, and one question for each label."""
+    rows = roles.table(spark, sf, "embeddings")
+    index = clusters.build_index(_identified(rows.where("vec_id % 2 = 0"), "id"), scratch_path(spark, "index"))
+    index = clusters.append_rows(index, _identified(rows.where("vec_id % 2 = 1"), "id"))
+    return clusters.search(index, questions(spark, sf), 10).select("query_id", "id", "score", "rank")
+
+
 @query(
     "vector_index_rows",
     """SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS norm_before, 1e0 AS norm_after FROM embeddings""",
@@ -106,7 +139,7 @@ c AS (SELECT mrid || '::' || revision_number AS id, coalesce(nullif(trim(message
 cv AS (SELECT id, {_HASHED.format(h="sha256(text)")} AS v FROM c),
 qv AS (SELECT n_nationkey AS query_id, {_HASHED.format(h="sha256('query: ' || n_name)")} AS q FROM nation),
 s AS (SELECT query_id, id, round(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(v AS DOUBLE[])), 6) AS score FROM qv, cv)
-SELECT query_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 3"""
+SELECT query_id, id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 3"""
 
 
 @query("embed_and_search", _SEARCH)
@@ -123,7 +156,7 @@ def embed_and_search(spark, sf):
         F.col("n_nationkey").alias("query_id"), F.col("n_name").alias("text")
     )
     found = retrieval.search(index, asked, embedder, 3)
-    return found.select("query_id", "rank", "score")
+    return found.select("query_id", "id", "rank", "score")
 
 
 @query(
