@@ -17,6 +17,7 @@ import hashlib
 import os
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,21 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(moved)}
 
 
+def ranks_beside(json_path: str):
+    """The rank file of the same vocabulary as an encoder, if it lies beside the json: same ids, three times as fast."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    path = Path(json_path).with_suffix(".tiktoken")
+    if not path.exists():
+        return None
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Vocabularies:
     """Both encoders, the bytes of their ids, and ``same``: the other id with an id's bytes, or -1.
 
@@ -85,6 +101,9 @@ class Vocabularies:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
+        self.ranked = ranks_beside(a_path)
+        # Code points by which both libraries of the first vocabulary were seen to split alike, or not.
+        self.alike, self.unlike = set(map(chr, range(128))), set()
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         decode = byte_characters()
         size = self.a.get_vocab_size()
@@ -103,20 +122,39 @@ class Vocabularies:
         piece = self.b.id_to_piece(k)
         return bytes([int(piece[1:-1], 16)]) if self.b.is_byte(k) else piece.replace(SPACE_MARK, " ").encode()
 
+    def _splits_alike(self, text: str) -> bool:
+        """Whether the rank library may stand in for the json's: each code point is tried once in both."""
+        if text.isascii():
+            return True
+        met = set(text)
+        for c in met - self.alike - self.unlike:
+            tried = f"a{c}a {c}1{c}1 {c}!{c}! {c} {c}\n{c}{c}"
+            same = self.ranked.encode_ordinary(tried) == self.a.encode(tried, add_special_tokens=False).ids
+            (self.alike if same else self.unlike).add(c)
+        return self.unlike.isdisjoint(met)
+
+    def _a_ids(self, text: str) -> np.ndarray:
+        if self.ranked is not None and self._splits_alike(text):
+            try:
+                return self.ranked.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+            except ValueError:  # runs of white space too long for it
+                pass
+        return np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
+
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both sides for each text; none for empty texts and where the bytes differ."""
         none = np.zeros(0, np.int64)
-        a_ids = [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        a_ids = [self._a_ids(f" {t}") for t in texts]
         b_ids = self.b.encode(texts, num_threads=1)
         out_a, out_b = [], []
         for text, a, b in zip(texts, a_ids, b_ids, strict=True):
             want = f" {text}".encode()
             fits = (
                 text != ""
-                and b"".join(map(self.a_bytes.__getitem__, a)) == want
+                and b"".join(map(self.a_bytes.__getitem__, a.tolist())) == want
                 and b"".join(map(self.b_bytes.__getitem__, b)) == want
             )
-            out_a.append(np.array(a, np.int64) if fits else none)
+            out_a.append(a if fits else none)
             out_b.append(np.array(b, np.int64) if fits else none)
         return out_a, out_b
 
