@@ -11,12 +11,9 @@ import numpy as np
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_BYTE = np.random.default_rng(20240611).integers(1, 2**64, 256, dtype=np.uint64)
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
-_BASE = 0x9E3779B97F4A7C55
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_SEED = 0x9E3779B97F4A7C55
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,16 +26,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            values = np.full(size, base, np.uint64)
-            values[0] = 1
-            _powers[k] = np.multiply.accumulate(values)
-    return _powers[0], _powers[1]
-
-
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, byte after the last, and row of every word."""
     if len(raw) == 0:
@@ -57,16 +44,24 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A hash of each word's bytes; with ``lower`` A-Z count as a-z."""
+    """A hash of each word's bytes; with ``lower`` A-Z count as a-z.
+
+    A sum of scrambled (place in the word, byte) values: unlike a polynomial, whose values for words
+    of regular patterns can agree whatever its base, no relation ties the values of two places.
+    """
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    power, inverse = _table(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    values = (_LOWER if lower else _BYTE)[raw]
-    values *= power[: len(raw)]
+    lengths = ends - starts
+    before = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
+    letters = raw[place + np.repeat(starts, lengths)]
+    if lower:
+        letters = _LOWER[letters]
+    values = mix((place.astype(np.uint64) << np.uint64(8) | letters) + np.uint64(_SEED))
+    sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values, out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    hashes = sums[before + lengths] - sums[before]
+    return mix(hashes + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def window_hashes(hashes: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
