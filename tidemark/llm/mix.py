@@ -9,6 +9,8 @@ Which documents of a length are taken is the order of a seeded hash.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from tidemark.llm.frames import small_join, staged
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
-# Budget up to which the bitmap is used, and lengths it is given.
+# Budget up to which the bitmap is used, and lengths that are tried before all of them.
 KNAPSACK_BUDGET = 1 << 17
 KNAPSACK_LENGTHS = 256
 # Documents of one source and length that a task ranks together, on average.
@@ -51,6 +53,11 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 def reachable(budget: int, counts: dict[int, int]) -> dict[int, int]:
     """How many of each length to take for the largest sum within ``budget``; exact."""
+    # A common divisor of all lengths makes the bitmap shorter, and a budget it cannot meet, one it can.
+    unit = math.gcd(*counts) or 1
+    if unit > 1:
+        scaled = reachable(budget // unit, {length // unit: n for length, n in counts.items()})
+        return {length * unit: n for length, n in scaled.items()}
     sums, before = 1, []
     mask = (1 << (budget + 1)) - 1
     items = []
@@ -74,6 +81,15 @@ def reachable(budget: int, counts: dict[int, int]) -> dict[int, int]:
     return out
 
 
+def _spread(lengths: list[int]) -> list[int]:
+    """The shortest of many ascending lengths and an even spread of the others."""
+    if len(lengths) <= KNAPSACK_LENGTHS:
+        return lengths
+    half = KNAPSACK_LENGTHS // 2
+    step = (len(lengths) - half) / half
+    return lengths[:half] + [lengths[half + int(k * step)] for k in range(half)]
+
+
 def plan_source(counts: dict[int, int], target: float) -> dict[int, tuple[int, int]]:
     """``length -> (copies of every document, documents with one copy more)`` for one source."""
     size = sum(length * n for length, n in counts.items())
@@ -107,15 +123,11 @@ def plan_source(counts: dict[int, int], target: float) -> dict[int, tuple[int, i
     if 0 < left <= KNAPSACK_BUDGET:
         free = {length: counts[length] - extra[length] for length in sorted(counts) if 0 < length <= left}
         free = {length: min(n, left // length) for length, n in free.items() if n}
-        lengths = list(free)
-        if len(lengths) > KNAPSACK_LENGTHS:
-            # The shortest lengths and an even spread of the others, if they can reach what is left.
-            half = KNAPSACK_LENGTHS // 2
-            step = (len(lengths) - half) / half
-            some = lengths[:half] + [lengths[half + int(k * step)] for k in range(half)]
-            if sum(length * free[length] for length in some) >= 2 * left:
-                lengths = some
-        for length, n in reachable(left, {length: free[length] for length in reversed(lengths)}).items():
+        # A few lengths nearly always suffice; where they fall short, all of them are used.
+        found = reachable(left, {length: free[length] for length in reversed(_spread(list(free)))})
+        if len(free) > KNAPSACK_LENGTHS and sum(length * n for length, n in found.items()) < left:
+            found = reachable(left, {length: free[length] for length in reversed(list(free))})
+        for length, n in found.items():
             extra[length] += n
     return {length: (copies, n) for length, n in extra.items()}
 
@@ -126,8 +138,8 @@ def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
     Size is the number of words. Sources in code point order, null last, weigh 5, 2, 1,
     repeating, and share the sum of all sizes; no target exceeds 3 times its source. ``taken``
     is a whole number of copies of the document, at most 3, in words. A source's taken words
-    fall short of its rounded target only if no choice of its documents can reach it within the
-    knapsack's lengths.
+    fall short of its rounded target only if no choice of documents can fill what is left after an even
+    share of all lengths, and after the longest documents where more than ``KNAPSACK_BUDGET`` words are left.
 
     A null text has size 0 and takes nothing; so do sources of such texts. A null source is a
     source of its own. Repeated rows and null ids are documents like others; rows alike in
