@@ -87,6 +87,17 @@ def unit_vectors(table: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return (rows[0], out[0]) if out else (np.zeros(0, np.int64), np.zeros((0, 1)))
 
 
+def check_widths(vectors: DataFrame) -> None:
+    """One width over the whole table, or an error that names two; vectors that link with nothing do not count."""
+    value = F.col("embedding").cast("array<double>")
+    odd = F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    fit = value.isNotNull() & ~odd & F.exists(value, lambda x: x != 0)
+    width = F.when(F.coalesce(fit, F.lit(False)), F.size(value))
+    low, high = vectors.agg(F.min(width), F.max(width)).first()
+    if low != high:
+        raise ValueError(f"vectors of several widths cannot be compared: {low} and {high}")
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """``(vec_id, unit)``: the unit vector as bytes of doubles; null, zero and non-finite vectors are left out."""
 
@@ -218,6 +229,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     ignored. An empty table gives an empty result.
     """
     given = vectors.where("vec_id is not null and not exists(embedding, x -> x is null or isnan(x))")
+    check_widths(given)
     units = staged(usable(given), "units")
     classes = units.groupBy("unit").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     classes = staged(classes, "classes")
