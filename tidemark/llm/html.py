@@ -492,7 +492,9 @@ def teaching_sample(pages: DataFrame) -> list[str]:
         rest = pages.where("html is not null").select("html").orderBy(F.xxhash64("html"), "html")
         return [r.html for r in rest.limit(TEACHING_PAGES).collect()]
     wanted = known.where(F.col("page_id").isin([r.page_id for r in ids]))
-    return [r.html for r in wanted.select("html", "page_id").limit(TEACHING_PAGES).collect()]
+    # An id may be repeated: which of its pages teach does not depend on the order of rows.
+    rows = wanted.select("html").orderBy(F.xxhash64("html"), "html").limit(TEACHING_PAGES)
+    return [r.html for r in rows.collect()]
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
