@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import clusters, diagnose, drift, quantiles, regress, vectors
+from tidemark.operators import clusters, diagnose, drift, quantiles, regress, smooth, vectors
 
 # --- exact quantiles ---------------------------------------------------------------------------
 
@@ -261,3 +261,35 @@ def test_robust_fit_of_collinear_columns(spark):
     df = spark.createDataFrame(rows, "a double, b double, y double")
     beta = regress.robust_steps(df, ["a", "b"], "y", "huber").coefficients
     assert beta[1] + 2 * beta[2] == pytest.approx(3.0, abs=0.02)
+
+
+# --- local regression --------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_local_line(spark, by):
+    rng = np.random.default_rng(6)
+    x = rng.uniform(-4, 9, 500).round(2)
+    g = rng.integers(0, 2, 500)
+    y = np.sin(x) * 5 + g
+    rows = [(int(a), float(b), float(c)) for a, b, c in zip(g, x, y, strict=True)] + [(0, None, 1.0), (1, 1.0, None)]
+    got = smooth.local_line(spark.createDataFrame(rows, "g int, x double, y double"), "x", "y", 0.5, 2.0, 0.25, by).collect()
+    for key in (0, 1) if by else (None,):
+        mine = np.ones(500, bool) if key is None else g == key
+        cells = np.floor(x[mine] / 0.25)
+        points = np.arange(math.ceil(cells.min() * 0.25 / 0.5), math.floor((cells.max() + 1) * 0.25 / 0.5) + 1) * 0.5
+        found = {r.x: r for r in got if key is None or r.g == key}
+        assert set(found) == set(points)
+        for p in points:
+            d = np.abs((cells + 0.5) * 0.25 - p) / 2.0
+            w = np.where(d < 1, (1 - np.minimum(d, 1) ** 3) ** 3, 0.0)
+            slope, level = np.polyfit(x[mine], y[mine], 1, w=np.sqrt(w))
+            assert found[p].fitted == pytest.approx(slope * p + level, abs=1e-6)
+            assert found[p].rows_near == (d < 1).sum()
+
+
+def test_local_line_of_one_value_and_of_nothing(spark):
+    df = spark.createDataFrame([(2.0, 3.0), (2.0, 5.0)], "x double, y double")
+    rows = smooth.local_line(df, "x", "y").collect()
+    assert [(r.x, r.fitted, r.slope) for r in rows] == [(2.0, 4.0, None)]
+    assert smooth.local_line(df.limit(0), "x", "y").collect() == []

@@ -101,6 +101,18 @@ def test_landed_files(spark, tmp_path):
     assert feeds.demand_rows(feeds.read_payloads(spark, str(tmp_path)), now()).count() == 2
 
 
+def test_a_stream_of_demand_pages_names_its_date_format(spark, tmp_path):
+    for day in (1, 2):
+        (tmp_path / f"{day}.json").write_text(json.dumps(page(demand(f"2024-01-0{day}", 1))))
+    stream = spark.readStream.schema("value string").option("wholetext", True).text(str(tmp_path))
+    payloads = stream.withColumnRenamed("value", "payload")
+    with pytest.raises(ContractError, match="one date format"):
+        feeds.demand_rows(payloads, now())
+    rows = feeds.demand_rows(payloads, now(), formats=["yyyy-MM-dd"])
+    days = {str(r.settlement_date) for r in live.drain(rows, "demand").collect()}
+    assert days == {"2024-01-01", "2024-01-02"}
+
+
 def test_narrowing_overflow_fails(spark):
     big = spark.range(1).select(F.lit(300).alias("settlement_period"))
     contract = schemas.T.StructType([schemas.DEMAND["settlement_period"]])
@@ -121,6 +133,39 @@ def test_materialise_policies_and_failed_write(spark, tmp_path):
     assert spark.read.parquet(path).count() == 5
 
 
+def test_a_crash_between_the_renames_leaves_a_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    tables.replace_table(spark.range(3), path)
+    real = tables._filesystem
+
+    class Failing:
+        """A file system that stops at its second rename."""
+
+        def __init__(self, fs):
+            self.fs, self.renames = fs, 0
+
+        def rename(self, *names):
+            self.renames += 1
+            if self.renames == 2:
+                raise OSError("power cut")
+            return self.fs.rename(*names)
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    failing = Failing(real(spark, path)[0])
+    monkeypatch.setattr(tables, "_filesystem", lambda spark, path: (failing, real(spark, path)[1]))
+    with pytest.raises(OSError, match="power cut"):
+        tables.replace_table(spark.range(5), path)
+    monkeypatch.undo()
+    assert not (tmp_path / "t").exists()
+    assert tables.materialise(spark, path, lambda: spark.range(9), CachePolicy.OFFLINE).count() == 5
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+    # A first write that stops half way is no table.
+    spark.range(2).write.parquet(str(tmp_path / "u.incoming-x"))
+    assert not tables.table_exists(spark, str(tmp_path / "u"))
+
+
 def test_unique_keys_and_cardinality(spark):
     left = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
     right = spark.createDataFrame([(1, "x")], "k int, w string")
@@ -284,14 +329,17 @@ def test_merges_with_few_held_pairs(spark, held):
     assert held == 20 or trained.rankings > 1
 
 
-def test_a_symbol_made_on_two_ways(spark):
+def test_merges_of_many_short_words(spark):
     rng = np.random.default_rng(5)
     words = {"".join(rng.choice(list("abc"), rng.integers(1, 9))): int(rng.integers(1, 9)) for _ in range(200)}
     counts = spark.createDataFrame(list(words.items()), "token string, freq long")
     trained = merges.train_merges(counts, 25, held=15)
     assert [h[1:] for h in trained.history] == plain_merges(words, 25)
-    joined = [a + b for a, b in trained.pairs]
-    assert len(joined) > len(set(joined))
+    # A pass ends with a merge whose symbol was there before, and at the floor.
+    ranked = [("61", "62", 9), ("63", "64", 8), ("65", "66", 7), ("67", "68", 3)]
+    assert merges.independent_head(ranked, 3, {"61", "6162"}) == ranked[:1]
+    assert merges.independent_head(ranked, 3, {"61", "6364"}) == ranked[:2]
+    assert merges.independent_head(ranked, 3, set()) == ranked[:3]
 
 
 def test_a_pass_reads_the_words_of_its_pairs_only(spark, sf):
@@ -304,7 +352,7 @@ def test_a_pass_reads_the_words_of_its_pairs_only(spark, sf):
         touched = sum(any(p in pairs for p in zip(w, w[1:], strict=False)) for w in freqs)
         assert one.words_touched == touched
         # Void postings are few: pairs that other merges took from a word.
-        assert one.postings_read <= 2 * touched + 20
+        assert one.postings_read <= 3 * touched + 20
         for a, b in pairs:
             merged = {}
             for w, f in freqs.items():

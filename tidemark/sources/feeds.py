@@ -2,7 +2,8 @@
 
 Every parser takes a DataFrame with one payload per row in a string column, so
 the same code serves ``spark.read.text(..., wholetext=True)`` over a landing
-folder, a table of payloads, or a stream of them.
+folder, a table of payloads, or a stream of them. A stream of the dated feeds
+names its date format, because a format cannot be looked for in rows to come.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.functions import timefn
+from tidemark.session import stage_table
 from tidemark.sources.contracts import ContractError, cast_to_contract
 
 # The date formats the demand and forecast feeds have used.
@@ -83,7 +85,10 @@ def paged_records(
             ),
         ]
     )
-    parsed = payloads.withColumn("__page", F.from_json(payload, page))
+    parsed = payloads.withColumn("__page", F.from_json(payload, page)).drop(payload)
+    if not payloads.isStreaming:
+        # Totals and dates are looked at before the rows are made: a page is parsed once for all.
+        parsed = stage_table(parsed, "pages")
     records = F.col("__page.result.records")
     n = F.coalesce(F.size(records), F.lit(-1))
     if resource is None:
@@ -135,9 +140,12 @@ def pick_date_format(df: DataFrame, column: str, formats: Sequence[str] = DATE_F
 def parse_dates(df: DataFrame, column: str, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
     """Parse the whole column with one format; no mixing of formats within it.
 
+    The format is looked for in the rows, unless only one is given; a stream needs that.
     Two-digit years mean 1969 to 2068, where Spark alone would read 2000 to 2099.
     """
-    chosen = pick_date_format(df, column, formats)
+    if len(formats) > 1 and df.isStreaming:
+        raise ContractError(f"a stream of {column!r} needs one date format, got {list(formats)}")
+    chosen = formats[0] if len(formats) == 1 else pick_date_format(df, column, formats)
     day = F.to_timestamp(F.col(column), chosen).cast("date")
     if "yy" in chosen and "yyyy" not in chosen:
         day = F.when(F.year(day) > 2068, F.add_months(day, -1200)).otherwise(day)
@@ -149,11 +157,12 @@ def demand_rows(
     retrieved_at: Column,
     year: Column | None = None,
     resource: str | None = None,
+    formats: Sequence[str] = DATE_FORMATS,
 ) -> DataFrame:
     """Half-hourly demand pages to the demand contract."""
     fields = ("SETTLEMENT_DATE", "SETTLEMENT_PERIOD", "ND", "TSD")
     rows = paged_records(payloads, fields, resource=resource)
-    rows = parse_dates(rows, "SETTLEMENT_DATE")
+    rows = parse_dates(rows, "SETTLEMENT_DATE", formats)
     instant = timefn.settlement_to_utc("SETTLEMENT_DATE", "SETTLEMENT_PERIOD")
     return cast_to_contract(
         rows.select(
@@ -176,6 +185,7 @@ def forecast_rows(
     retrieved_at: Column,
     measurements: Sequence[str] = tuple(FORECAST_NAMES),
     resource: str | None = None,
+    formats: Sequence[str] = DATE_FORMATS,
 ) -> DataFrame:
     """Forecast archive pages; measurements not asked for become null columns."""
     unknown = [m for m in measurements if m not in FORECAST_NAMES]
@@ -183,7 +193,7 @@ def forecast_rows(
         raise ContractError(f"unknown measurement(s): {unknown}")
     fields = ("Date", "Settlement_Period", *measurements)
     rows = paged_records(payloads, fields, resource=resource)
-    rows = parse_dates(rows, "Date")
+    rows = parse_dates(rows, "Date", formats)
     instant = timefn.settlement_to_utc("Date", "Settlement_Period")
     return cast_to_contract(
         rows.select(

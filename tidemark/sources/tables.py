@@ -9,8 +9,6 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.contracts import check_contract
-
 
 class CachePolicy(Enum):
     AUTO = "auto"
@@ -28,19 +26,44 @@ def _filesystem(spark: SparkSession, path: str):
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    """True for a finished write: the folder has its success marker."""
+    """True for a finished write: the folder has its success marker. An interrupted swap is finished first."""
     fs, _ = _filesystem(spark, path)
+    finish_swap(spark, path)
     return fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS"))
 
 
+def finish_swap(spark: SparkSession, path: str) -> None:
+    """Bring back a table whose replacement was interrupted between its two renames.
+
+    The folder is then missing, and beside it lie the new table, which is complete, and the old one.
+    """
+    path = path.rstrip("/")
+    fs, target = _filesystem(spark, path)
+    if fs.exists(target):
+        return
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    for kind in ("incoming", "outgoing"):
+        for found in fs.globStatus(path_of(f"{path}.{kind}-*")) or ():
+            done = fs.exists(path_of(f"{found.getPath().toString()}/_SUCCESS"))
+            # Without an old table that was moved away there was no swap, only a first write.
+            moved = kind == "outgoing" or fs.globStatus(path_of(f"{path}.outgoing-*"))
+            if done and moved and fs.rename(found.getPath(), target):
+                for rest in fs.globStatus(path_of(f"{path}.outgoing-*")) or ():
+                    fs.delete(rest.getPath(), True)
+                return
+
+
 def replace_table(df: DataFrame, path: str, sort: Sequence[str] = ()) -> str:
     """Write next to the target, then swap folders.
 
-    A failed write leaves the old table as it was. ``sort`` gives rows a stable
-    order within each file, which also tightens min/max statistics.
+    A failed write leaves the old table as it was, and a crash between the two
+    renames is made good by :func:`finish_swap`, which every function here calls
+    before it looks at a table. ``sort`` gives rows a stable order within each
+    file, which also tightens min/max statistics.
     """
     spark = df.sparkSession
     path = path.rstrip("/")
+    finish_swap(spark, path)
     tag = uuid.uuid4().hex
     incoming, outgoing = f"{path}.incoming-{tag}", f"{path}.outgoing-{tag}"
     ordered = df.sortWithinPartitions(*sort) if sort else df
@@ -167,8 +190,3 @@ def provenance(
     return F.coalesce(
         df.agg(F.min(column).alias("stamp")).scalar(), F.current_timestamp()
     )
-
-
-def checked(df: DataFrame, contract) -> DataFrame:
-    """Contract check as the last step before a write."""
-    return check_contract(df, contract)

@@ -254,7 +254,7 @@ def _solved(columns, by="", source="rows"):
     """SQL for the normal equations of ``rows(x, y)``, reduced to (coefficients, inverse) column by column.
 
     ``m`` holds rows of the moment matrix, its right side, and the unit matrix; a step of the
-    recursion clears one column.
+    recursion clears one column. A column of zeros gets the coefficient 0.
     """
     p = columns + 1
     cell = {(i, j): f"sum(x[{i + 1}] * x[{j + 1}])" for i in range(p) for j in range(p)}
@@ -265,8 +265,8 @@ def _solved(columns, by="", source="rows"):
     key, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
     return f"""moments AS (SELECT {key}count(*) AS n, sum(y) AS sy, sum(y * y) AS yy, [{rows}] AS m FROM {source} {group}),
 steps AS (SELECT {key}n, sy, yy, 1 AS k, m, m AS m0 FROM moments UNION ALL
-SELECT {key}n, sy, yy, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k])
-ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END), m0 FROM steps WHERE k <= {p}),
+SELECT {key}n, sy, yy, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / coalesce(nullif(m[k][k], 0), 1))
+ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / coalesce(nullif(m[k][k], 0), 1)) END), m0 FROM steps WHERE k <= {p}),
 solved AS (SELECT {key}n, sy, yy, list_transform(m, lambda r: r[{p + 1}]) AS b, m, m0 FROM steps WHERE k = {p + 1})"""
 
 
@@ -408,7 +408,18 @@ def backtest_metrics_linear(spark, sf):
     return ntz(rounded(per_fold, 4))
 
 
-@query("backtest_weather_response")
+_FULL_ROW = f"[1e0, {', '.join(x for _, x in _FULL)}]"
+
+
+@query(
+    "backtest_weather_response",
+    f"""WITH RECURSIVE {_FIX}, {_folds(SPLIT)},
+rows AS (SELECT fold_index, CAST(nd_mw AS DOUBLE) AS y, {_FULL_ROW} AS x FROM folds JOIN ix ON ix >= a AND ix < b),
+{_solved(len(_FULL), "fold_index")},
+preds AS (SELECT fold_index, timestamp_utc, CAST(nd_mw AS DOUBLE) AS y, list_dot_product(s.b, {_FULL_ROW}) AS p FROM folds JOIN ix ON ix >= c AND ix < d JOIN solved s USING (fold_index)),
+ends AS (SELECT fold_index, timestamp_utc AS train_end FROM folds JOIN ix ON ix = b - 1)
+SELECT fold_index, any_value(train_end) AS train_end, min(timestamp_utc) AS test_start, max(timestamp_utc) AS test_end, {_METRIC_SQL.replace(", 6)", ", 4)")} FROM preds JOIN ends USING (fold_index) GROUP BY 1""",
+)
 def backtest_weather_response(spark, sf):
     """All folds of the 13-parameter model from one pass of moments."""
     per_fold, _ = backtest.evaluate(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import timefn
-from tidemark.operators import checks, diagnose, ordered, regress, resample
+from tidemark.operators import checks, diagnose, ordered, regress, resample, smooth
 from tidemark.plans import features as plans
 from tidemark.plans import training
 from tidemark.session import stage
@@ -465,3 +465,21 @@ SELECT CAST(isodow(wall) - 1 AS INTEGER) AS weekday, {", ".join(f"round(avg(nd_m
 )
 def hour_weekday_pivot(spark, sf):
     return rounded(diagnose.hour_weekday_pivot(roles.hourly(spark, sf), "nd_mw"))
+
+
+_LINE = """m AS (SELECT floor(x / 0.25) AS bin, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM rows WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1),
+g AS (SELECT unnest(range(CAST(ceil(min(bin) * 0.25) AS BIGINT), CAST(floor((max(bin) + 1) * 0.25) AS BIGINT) + 1)) AS p FROM m),
+w AS (SELECT p, m.*, pow(1 - pow(abs((bin + 0.5) * 0.25 - p) / 3, 3), 3) AS w FROM g JOIN m ON abs((bin + 0.5) * 0.25 - p) < 3),
+s AS (SELECT p, sum(n) AS rows_near, sum(w * n) AS n, sum(w * sx) AS sx, sum(w * sy) AS sy, sum(w * sxx) AS sxx, sum(w * sxy) AS sxy FROM w GROUP BY 1),
+l AS (SELECT *, CASE WHEN sxx / n - sx / n * sx / n > 1e-12 * greatest(sxx / n, 1e-300) THEN (sxy / n - sx / n * sy / n) / (sxx / n - sx / n * sx / n) END AS b FROM s)
+SELECT CAST(p AS DOUBLE) AS x, round(coalesce(sy / n + b * (p - sx / n), sy / n), 4) AS fitted, CAST(rows_near AS BIGINT) AS rows_near FROM l"""
+
+
+@query(
+    "temperature_local_line",
+    f"WITH {FEATURES}, rows AS (SELECT temperature_2m AS x, CAST(nd_mw AS DOUBLE) AS y FROM features), {_LINE}",
+)
+def temperature_local_line(spark, sf):
+    """Demand against temperature as a local regression on whole degrees."""
+    line = smooth.local_line(roles.feature_rows(spark, sf), "temperature_2m", "nd_mw")
+    return rounded(line.select("x", "fitted", "rows_near"), 4)
