@@ -148,8 +148,9 @@ def exact_duplicates(docs: DataFrame, in_snapshot: Column) -> DataFrame:
     filters = staged(snapshot_filters(snapshot, shards), "filters")
     repeated = seen.groupBy("old", "h").count().where("count > 1").select("h")
     wanted = screened(filters, batch, shards).union(repeated).distinct()
-    # The bucket of a digest: few rows are read again, as texts.
-    bucket = staged(seen.join(wanted, "h", "left_semi").select("doc_id", "h").distinct(), "bucket")
+    # The buckets of these digests: few rows are read again, as texts. A digest with many copies stays spread.
+    wanted = staged(wanted, "wanted")
+    bucket = staged(frames.small_join(seen, wanted, "h", "left_semi", 64).select("doc_id"), "bucket")
     known = bucket.where("doc_id is not null").select("doc_id").distinct()
     texts = frames.small_join(docs.select("doc_id", text.alias("t")), known, "doc_id", "left_semi", 16)
     if not bucket.where("doc_id is null").isEmpty():
