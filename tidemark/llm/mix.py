@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.frames import small_join, staged
+from tidemark.llm.frames import BROADCAST_BYTES, small_join, staged
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -167,8 +167,10 @@ def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
         return out
 
     same = histogram["source"].eqNullSafe(sources["source"])
+    # Names and numbers of a source take some 128 bytes.
+    side = F.broadcast(sources) if len(rows) * 128 <= BROADCAST_BYTES else sources
     plans = (
-        histogram.join(F.broadcast(sources), same)
+        histogram.join(side, same)
         .select(histogram["source"], "size", "n", "source_size", "target")
         .groupBy("source")
         .applyInPandas(
