@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import metrics
 from tidemark.operators import backtest, diagnose, ordered, registry, regress
+from tidemark.plans import training
 from tidemark.operators.backtest import (
     InfeasibleSplit,
     LinearModel,
@@ -221,8 +222,15 @@ def test_leaderboard_puts_missing_last(spark, tmp_path):
     table = registry.runs(spark, path)
     for ascending, want in ((True, ["a", "b", "c"]), (False, ["b", "a", "c"])):
         assert [r["name"] for r in registry.leaderboard(table, ascending=ascending).collect()] == want
+        board = ordered.numbered(registry.leaderboard(table, ascending=ascending), "position")
+        assert [r["name"] for r in board.orderBy("position").collect()] == want
     assert registry.leaderboard(table, target="other").count() == 0
     assert registry.describe(table, "a_20240102T0304").count() == 1
+    stored = table.select("run_id", F.array(F.lit(1.0), F.col("metrics")["mae"]["mean"]).alias("coefficients"))
+    scored = training.score_batch(spark.range(3).withColumnRenamed("id", "x"), stored, ["x"], runs=table)
+    assert {(r["run_id"], r["prediction"]) for r in scored.collect()} == {("a_20240102T0304", 1.0 + k) for k in range(3)}
+    with pytest.raises(registry.UnknownRun):
+        training.score_batch(spark.range(1), stored, ["id"], runs=table.where("name = 'c'"))
     with pytest.raises(registry.UnknownRun):
         registry.describe(table, "missing")
     for bad in ("a/b", "../x", ""):

@@ -390,6 +390,9 @@ def test_separated_corpus(spark, tmp_path):
 
 def test_sample_is_repeatable(spark):
     df = spark.range(4000)
+    texts = df.withColumn("text", F.repeat(F.lit("é"), 5))
+    sized = corpora.sample_to_bytes(texts, "id", "text", 10_000, seed=2).agg(F.sum(F.octet_length("text"))).first()[0]
+    assert 8_500 < sized < 11_500 and corpora.sample_to_bytes(texts, "id", "text", 10**9).count() == 4000
     a = {r[0] for r in corpora.bernoulli_sample(df, "id", 0.3, 1).collect()}
     assert a == {r[0] for r in corpora.bernoulli_sample(df.repartition(3), "id", 0.3, 1).collect()}
     assert 1000 < len(a) < 1400

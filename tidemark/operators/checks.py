@@ -49,15 +49,6 @@ def unknown_values(df: DataFrame, column: str, vocabulary: Iterable[str]) -> Dat
     )
 
 
-def observe_unknown(
-    df: DataFrame, column: str, vocabulary: Iterable[str]
-) -> tuple[DataFrame, Observation]:
-    """Count out-of-vocabulary rows while the frame is used for something else."""
-    seen = Observation(f"unknown_{column}")
-    outside = ~F.col(column).isin(*vocabulary)
-    return df.observe(seen, F.count_if(outside).alias("unknown_rows")), seen
-
-
 def fill_counters(columns: Sequence[str]) -> list[Column]:
     return [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns]
 

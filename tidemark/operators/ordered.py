@@ -257,6 +257,22 @@ def row_index(
     return counted.withColumn(name, F.col(name) - 1).drop("__one")
 
 
+def numbered(ordered_rows: DataFrame, name: str = "ix") -> DataFrame:
+    """0-based positions in the order a frame is already in.
+
+    A row has its place inside its part; the parts before it add their row counts. The order is the
+    frame's own: nothing is sorted or compared again.
+    """
+    rows = stage_table(ordered_rows.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33)
+    counts = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    place = F.col("__at") - F.shiftleft("__part", 33) + F.col("__start")
+    placed = rows.withColumn("__part", part).join(starts, "__part")
+    return placed.withColumn(name, place).drop("__part", "__at", "__start")
+
+
 def following(
     df: DataFrame,
     order: str,

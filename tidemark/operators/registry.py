@@ -105,7 +105,7 @@ def leaderboard(
     sort_by: str | None = "mae",
     ascending: bool = True,
 ) -> DataFrame:
-    """Exact-match filters, then order by a metric mean; missing or NaN go last."""
+    """Exact-match filters, then order by a metric mean; missing or NaN go last, and ties by name."""
     out = table
     for column, wanted in (("target", target), ("type", kind), ("feature_set", feature_set)):
         if wanted is not None:
@@ -114,7 +114,8 @@ def leaderboard(
         return out
     mean = F.col("metrics")[sort_by]["mean"]
     missing = mean.isNull() | F.isnan(mean)
-    return out.orderBy(missing.asc(), mean.asc() if ascending else mean.desc())
+    known = F.when(~missing, mean)
+    return out.orderBy(missing.asc(), known.asc() if ascending else known.desc(), F.asc("name"))
 
 
 def latest_run(

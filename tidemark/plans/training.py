@@ -52,27 +52,33 @@ def train_and_register(
 def best_run(table: DataFrame, metric: str = "mae") -> DataFrame:
     """The run with the lowest metric mean: the default model for scoring."""
     mean = F.col("metrics")[metric]["mean"]
-    return table.agg(
-        F.min_by(F.struct(*table.columns), F.when(~F.isnan(mean), mean)).alias("r")
-    ).select("r.*")
+    # Equal runs are told apart by their ids.
+    rank = F.when(~F.isnan(mean), F.struct(mean.alias("mean"), F.col("run_id").alias("run_id")))
+    return table.agg(F.min_by(F.struct(*table.columns), rank).alias("r")).select("r.*")
 
 
 def score_batch(
     rows: DataFrame,
     coefficients: DataFrame,
     features: Sequence[str],
-    run_id: str,
+    run_id: str | None = None,
     intercept: bool = True,
     name: str | None = None,
     target: str | None = None,
+    runs: DataFrame | None = None,
 ) -> DataFrame:
     """Predictions of one stored run: its single coefficient row scores every feature row.
 
-    Each row logs its request: run, model name, target, and the hash of the features it used.
+    Without ``run_id`` it is the run of the registry table ``runs`` with the least mean error. Each row logs its request: run, model name, target, and the hash of the features it used.
     """
     from tidemark.functions import textfn
     from tidemark.operators.regress import dot
 
+    if run_id is None:
+        default = best_run(runs).first() if runs is not None else None
+        if default is None or default["run_id"] is None:
+            raise registry.UnknownRun("no run is named, and none has a metric to choose it by")
+        run_id = default["run_id"]
     wanted = registry.describe(coefficients, run_id)
     beta = wanted.select("coefficients").scalar()
     return rows.withColumns(

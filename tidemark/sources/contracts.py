@@ -92,18 +92,6 @@ def cast_to_contract(
     return df.select(*(column(f) for f in contract.fields))
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """Make NULL the only missing value in floating columns."""
-    return df.select(
-        *(
-            F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name)
-            if isinstance(f.dataType, T.FractionalType) and not isinstance(f.dataType, T.DecimalType)
-            else F.col(f.name)
-            for f in df.schema.fields
-        )
-    )
-
-
 def require_instants(df: DataFrame, *columns: str) -> DataFrame:
     """Refuse time columns without a zone (NTZ, dates, strings)."""
     for name in columns:

@@ -582,10 +582,7 @@ def leaderboard(spark, sf):
         _runs(spark, sf), target="F", feature_set="weather_only", ascending=False
     )
     mae = F.col("metrics")["mae"]["mean"]
-    scored = board.select("name", F.when(~F.isnan(mae), mae).alias("mae"))
-    last = F.lit(2**62)
-    priced = scored.withColumn("cents", F.coalesce(-F.round(F.col("mae") * 100).cast("bigint"), last))
-    placed = ordered.row_index(priced, ["cents", "name"], cut=ordered.balanced(), name="position")
+    placed = ordered.numbered(board.select("name", F.when(~F.isnan(mae), mae).alias("mae")), "position")
     return placed.select((F.col("position") + 1).alias("position"), "name", "mae")
 
 

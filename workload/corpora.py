@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import textfn
 from tidemark.operators import corpus, merges
+from tidemark.plans import reports
 from tidemark.session import scratch_path, spread_scan
 from tidemark.sources import corpora
 from workload import query, roles
@@ -104,7 +105,8 @@ def merge_one_pair(spark, sf):
 
 
 # Every generation of words holds the merge that made it.
-_TRAINED = f"""WITH RECURSIVE {_TOKENS},
+def _trained(steps: int, columns: str = "") -> str:
+    return f"""WITH RECURSIVE {_TOKENS},
 gen AS (
   SELECT -1 AS step, regexp_replace(hex(encode(token)), '(..)', '|\\1|', 'g') AS w, freq, '' AS "left", '' AS "right", CAST(0 AS BIGINT) AS n FROM counts
   UNION ALL
@@ -112,19 +114,28 @@ gen AS (
   FROM gen, (SELECT p[1] AS l, p[2] AS r, CAST(sum(freq) AS BIGINT) AS n
              FROM (SELECT freq, unnest(list_zip(s[:-2], s[2:])) AS p FROM (SELECT freq, string_split(trim(w, '|'), '||') AS s FROM gen))
              GROUP BY 1, 2 ORDER BY n DESC, l DESC, r DESC LIMIT 1) b
-  WHERE step < 47),
+  WHERE step < {steps - 1}),
 sizes AS (SELECT step, any_value("left") AS "left", any_value("right") AS "right", any_value(n) AS n,
           CAST(sum(freq * len(string_split(trim(w, '|'), '||'))) AS BIGINT) AS total FROM gen GROUP BY 1)
-SELECT s.step, s."left", s."right", s.n, s.total, round(b.total / s.total, 6) AS ratio FROM sizes s, sizes b WHERE b.step = -1 AND s.step >= 0"""
+SELECT s.step, s."left", s."right", s.n, s.total, round(b.total / s.total, 6) AS ratio{columns} FROM sizes s, sizes b WHERE b.step = -1 AND s.step >= 0"""
 
 
-@query("byte_pair_training", _TRAINED)
+@query("byte_pair_training", _trained(48))
 def byte_pair_training(spark, sf):
     """The first 48 merges over all documents with their history."""
     counts = corpus.pretoken_counts(documents(spark, sf))
     return rounded(merges.history_frame(spark, merges.train_merges(counts, 48)))
 
 
+@query("corpus_to_tokenizer", _trained(12, ", (SELECT count(*) FROM documents) AS pieces, (SELECT count(*) FROM counts) AS pretokens"))
+def corpus_to_tokenizer(spark, sf):
+    """The whole report over a corpus in one call: the first merges beside its sizes."""
+    report = reports.corpus_report(documents(spark, sf), 12)
+    sizes = [report["profile"].select("pieces").scalar(), report["pretokens"].agg(F.count("*")).scalar()]
+    history = rounded(merges.history_frame(spark, report["merges"]))
+    return history.withColumns(dict(zip(("pieces", "pretokens"), sizes, strict=True)))
+
+
 @query(
     "separated_corpus_read",
     f"""SELECT count(*) AS documents, CAST(sum(strlen(t)) AS BIGINT) AS bytes, count(DISTINCT t) AS distinct_texts FROM (SELECT {_STRIP} AS t FROM documents) WHERE t <> ''""",
