@@ -367,6 +367,13 @@ def _unpacked(sums: np.ndarray, width: int) -> tuple[float, np.ndarray, np.ndarr
     return sums[0], cells[0], square(cells[1]), square(cells[2])
 
 
+def _least(losses: Sequence[float], gradients: Sequence[float]) -> int:
+    """The point of least loss; of those level with it up to rounding, that of least gradient."""
+    values = np.array(losses)
+    level = np.flatnonzero(values <= np.min(values) + LOSS_ROUNDING * abs(np.min(values)))
+    return int(level[np.argmin(np.array(gradients)[level])])
+
+
 @dataclass(frozen=True)
 class RobustSteps:
     """Coefficients of a robust fit, the passes over the rows it took, and what is left of the gradient.
@@ -374,7 +381,7 @@ class RobustSteps:
     The gradient is that of the mean loss, for each column in units of the column's root mean square.
     """
 
-    coefficients: list[float]
+    coefficients: list[float] | None
     passes: int
     gradient: float
 
@@ -389,9 +396,13 @@ def robust_steps(
     least squares, which is safe far from it. The point with the least loss is the next one.
     The scale of the loss starts at the residuals' own and falls to 1, so that the curvature
     is never that of a few rows. Stopping short of a gradient near zero is an error.
+    Losses that agree but for the rounding of their sums say nothing about which point is better; there
+    the least gradient does. Without a complete row there are no coefficients.
     """
     _loss_terms(loss, np.zeros(1))
     packed = moments(df, features, target).first()["packed"]
+    if not packed or packed[0] == 0:
+        return RobustSteps(None, 1, 0.0)
     start, _, _, _, variance, n = solve_packed(packed)
     point, width = np.array(start), len(start)
     diagonal = np.array(packed[HEAD:])[[i for i, (a, b) in enumerate(_pairs(width + 1)) if a == b < width]]
@@ -407,7 +418,7 @@ def robust_steps(
     while passes <= iterations:
         sums = [_unpacked(row, width) for row in _robust_sums(rows, loss, points, scale)]
         passes += 1
-        best = int(np.argmin([s[0] for s in sums]))
+        best = _least([s[0] for s in sums], [float(np.max(np.abs(s[1]) / unit)) for s in sums])
         point, (_, gradient, newton, weighted) = points[best], sums[best]
         change = float(np.max(np.abs(gradient) / unit) / n)
         if scale == 1.0 and change <= tolerance:
@@ -427,18 +438,27 @@ def fit_robust(
     if loss == "linear":
         return solve(moments(df, features, target))
     beta = robust_steps(df, features, target, loss, iterations, tolerance).coefficients
+    if beta is None:
+        return solve(moments(df, features, target))
     residual = F.col(target).cast("double") - dot(features, F.array(*(F.lit(float(b)) for b in beta)))
     weighted = df.withColumn("__weight", loss_weight(loss, residual))
     return solve(moments(weighted, features, target, weight="__weight"))
 
 
 def robust_gradient(df: DataFrame, fits: DataFrame, features: Sequence[str], target: str, loss: str) -> DataFrame:
-    """``parameter, gradient``: the mean loss's gradient at a fit by each coefficient, from the rows themselves."""
+    """``parameter, gradient``: the mean loss's gradient at a fit by each coefficient, from the rows themselves.
+
+    Where no row is complete there is nothing to pull at a coefficient, and the gradient is 0.
+    """
     scored = apply_fit(df, fits, features, name="__fit")
     residual = F.col(target).cast("double") - F.col("__fit")
     pull = loss_weight(loss, residual) * residual
     named = zip(design(features), [F.lit(1.0), *(F.col(c).cast("double") for c in features)], strict=True)
-    means = scored.agg(*(F.avg(pull * x).alias(name) for name, x in named))
+    complete = F.col(target).isNotNull()
+    for c in features:
+        complete = complete & F.col(c).isNotNull()
+    none = F.count_if(complete) == 0
+    means = scored.agg(*(F.when(none, 0.0).otherwise(F.avg(pull * x)).alias(name) for name, x in named))
     return means.unpivot([], design(features), "parameter", "gradient")
 
 
