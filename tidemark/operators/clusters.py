@@ -24,6 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,10 @@ from tidemark.session import stage_table
 SAMPLE_ROWS = 50_000
 MOST_CLUSTERS = 1024
 FIT_ROUNDS = 8
+# Rows whose codes are dealt together, questions that meet them together, and scores of these held at once.
 CODE_BLOCK = 8192
+QUESTION_BLOCK = 2048
+SCORES_AT_ONCE = 2**21
 # Scores are compared after rounding: two that differ by less may be equal then.
 ROUNDING = 10.0**-SCORE_DECIMALS
 # Slack for sums in floating point.
@@ -158,58 +162,79 @@ def _present(vector: Column, name: str) -> Column:
     return F.coalesce(vector, F.raise_error(F.lit(f"null in {name}"))).alias(name)
 
 
-def _cluster_bounds(index: ClusteredIndex, asked: DataFrame, k: int, key_type: str) -> DataFrame:
-    """``query_id, vector, cluster, bound, near`` for every question and cluster that has rows.
+def _groups(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each cluster, and in how many blocks of rows a group is cut: only a large cluster, alone in its group, is."""
+    group, blocks, held = np.zeros(len(sizes), np.int32), [], 0
+    for cluster, n in enumerate(sizes.tolist()):
+        if not blocks or held + n > CODE_BLOCK:
+            blocks.append(1)
+            held = 0
+        held += n
+        group[cluster] = len(blocks) - 1
+        blocks[-1] = max(1, -(-held // CODE_BLOCK))
+    return group, np.array(blocks)
 
-    ``bound`` is the most that a row of the cluster can score, and ``near`` marks the nearest
-    clusters that hold k rows.
+
+def _asked_clusters(index: ClusteredIndex, k: int, nearest: bool):
+    """A function of batches ``query_id, vector, floor``: the clusters each question asks, listed by group.
+
+    These are the nearest clusters that hold k rows, or else the others whose bound, the most that a row of
+    the cluster can score, reaches the floor. A few questions at a time meet the centres.
     """
     centres, radius, rows = index.centres, index.radius, index.rows
-    filled = np.flatnonzero(rows)
-
-    def bounds(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            unit = _matrix(batch.column("vector"), centres.shape[1])
-            angle = _angles(unit @ centres[filled].T)
-            bound = np.cos(np.maximum(angle - radius[filled] - FLOAT_SLACK, 0.0)) + FLOAT_SLACK
-            order = np.argsort(angle, axis=1, kind="stable")
-            before = np.cumsum(rows[filled][order], axis=1) - rows[filled][order]
-            near = np.zeros_like(angle, bool)
-            np.put_along_axis(near, order, before < k, axis=1)
-            q, c = np.indices(angle.shape).reshape(2, -1)
-            at = pa.array(q)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("query_id").take(at),
-                    batch.column("vector").take(at),
-                    pa.array(filled[c], pa.int32()),
-                    pa.array(bound.ravel()),
-                    pa.array(near.ravel()),
-                ],
-                names=["query_id", "vector", "cluster", "bound", "near"],
-            )
-
-    kind = asked.schema["vector"].dataType.simpleString()
-    ddl = f"query_id {key_type}, vector {kind}, cluster int, bound double, near boolean"
-    return asked.mapInArrow(bounds, ddl)
+    filled, (group, _) = np.flatnonzero(rows), _groups(rows)
+    step = QUERIES_PER_PASS
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batches:
+            for first in range(0, some.num_rows, step):
+                batch = some.slice(first, step)
+                unit = _matrix(batch.column("vector"), centres.shape[1])
+                angle = _angles(unit @ centres[filled].T)
+                order = np.argsort(angle, axis=1, kind="stable")
+                before = np.cumsum(rows[filled][order], axis=1) - rows[filled][order]
+                wanted = np.zeros_like(angle, bool)
+                np.put_along_axis(wanted, order, before < k, axis=1)
+                if not nearest:
+                    bound = np.cos(np.maximum(angle - radius[filled] - FLOAT_SLACK, 0.0)) + FLOAT_SLACK
+                    wanted = ~wanted & (bound >= batch.column("floor").to_numpy()[:, None] - ROUNDING)
+                q, c = np.nonzero(wanted)
+                if len(q) == 0:
+                    continue
+                cluster = filled[c]
+                g = group[cluster]
+                starts = np.flatnonzero(np.append(True, (np.diff(q) != 0) | (np.diff(g) != 0)))
+                ends = pa.array(np.append(starts, len(q)), pa.int32())
+                at = pa.array(q[starts])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("query_id").take(at),
+                        batch.column("vector").take(at),
+                        batch.column("floor").take(at),
+                        pa.array(g[starts], pa.int32()),
+                        pa.ListArray.from_arrays(ends, pa.array(cluster, pa.int32())),
+                    ],
+                    names=["query_id", "vector", "floor", "group", "clusters"],
+                )
+
+    return ask
 
 
 def _scan_codes(index: ClusteredIndex, wanted: DataFrame, k: int, id_type: str, key_type: str) -> DataFrame:
     """``query_id, cluster, id, low, high`` of rows that may be among the k best of their block.
 
-    ``wanted(query_id, vector, cluster, floor)`` names the clusters to scan for each question, and a
-    score that its k best rows are known to reach. Clusters are cut in blocks of rows, and
-    the questions that ask a cluster in blocks, too; every two blocks meet in one product.
+    ``wanted(query_id, vector, floor, group, clusters)`` names the clusters to scan for each question, and a
+    score that its k best rows are known to reach. Small clusters are dealt together in groups, large ones are
+    cut in blocks of rows, and the questions that ask a group in blocks, too; where two blocks meet, each
+    cluster's codes meet the questions that ask it, a few at a time.
     """
-    spark, sizes = index.spark, index.rows
-    asking = wanted.groupBy("cluster").agg(F.count("*").alias("n_asking"))
-    blocks = spark.createDataFrame(
-        [(int(c), -(-int(n) // CODE_BLOCK)) for c, n in enumerate(sizes) if n], "cluster int, n_blocks int"
-    )
-    grid = asking.join(blocks, "cluster").withColumn("n_groups", F.ceil(F.col("n_asking") / QUERIES_PER_PASS).cast("int"))
-    grid = stage_table(grid.select("cluster", "n_blocks", "n_groups"), "grid")
+    spark = index.spark
+    group, blocks = _groups(index.rows)
+    asking = wanted.groupBy("group").agg(F.count("*").alias("n_asking"))
+    cut = spark.createDataFrame([(g, n) for g, n in enumerate(blocks.tolist())], "group int, n_blocks int")
+    grid = asking.join(cut, "group").withColumn("n_parts", F.ceil(F.col("n_asking") / QUESTION_BLOCK).cast("int"))
+    grid = stage_table(grid.select("group", "n_blocks", "n_parts"), "grid")
+    placed = spark.createDataFrame([(c, g) for c, g in enumerate(group.tolist())], "cluster int, group int")
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -217,12 +242,14 @@ def _scan_codes(index: ClusteredIndex, wanted: DataFrame, k: int, id_type: str,
     def own(column: str, n: str) -> Column:
         return F.pmod(F.xxhash64(column), F.col(n)).cast("int")
 
-    codes = index.table().select("id", "cluster", "code", "scale", "rest").join(grid, "cluster")
-    left = codes.withColumn("block", own("id", "n_blocks")).withColumn("part", every("n_groups"))
-    left = left.drop("n_blocks", "n_groups")
-    right = wanted.join(grid, "cluster").withColumn("part", own("query_id", "n_groups"))
-    right = right.withColumn("block", every("n_blocks")).drop("n_blocks", "n_groups")
-    width = index.centres.shape[1]
+    # One row for each centre at most.
+    codes = index.table().select("id", "cluster", "code", "scale", "rest")
+    codes = codes.join(F.broadcast(placed), "cluster").join(F.broadcast(grid), "group")
+    left = codes.withColumn("block", own("id", "n_blocks")).withColumn("part", every("n_parts"))
+    left = left.drop("n_blocks", "n_parts")
+    right = wanted.join(F.broadcast(grid), "group").withColumn("part", own("query_id", "n_parts"))
+    right = right.withColumn("block", every("n_blocks")).drop("n_blocks", "n_parts")
+    width, most = index.centres.shape[1], QUERIES_PER_PASS
 
     def scan(rows: pa.Table, questions: pa.Table) -> pa.Table:
         names = ["query_id", "cluster", "id", "low", "high"]
@@ -232,26 +259,42 @@ def _scan_codes(index: ClusteredIndex, wanted: DataFrame, k: int, id_type: str,
                 [questions.column("query_id")[:0], rows.column("cluster")[:0], rows.column("id")[:0], none, none], names
             )
         code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.int8).reshape(rows.num_rows, width)
+        scale, rest = rows.column("scale").to_numpy(), rows.column("rest").to_numpy() + FLOAT_SLACK
         unit = _matrix(questions.column("vector").combine_chunks(), width)
-        score = (code.astype(np.float64) @ unit.T) * rows.column("scale").to_numpy()[:, None]
-        rest = (rows.column("rest").to_numpy() + FLOAT_SLACK)[:, None]
-        floor = questions.column("floor").to_numpy()
-        if rows.num_rows > k:
-            known = np.partition(score - rest, rows.num_rows - k, axis=0)[rows.num_rows - k]
-            floor = np.maximum(floor, known)
-        r, q = np.nonzero(score + rest >= floor - ROUNDING)
+        floor = questions.column("floor").to_numpy().copy()
+        listed = questions.column("clusters").combine_chunks()
+        asks, who = pc.list_flatten(listed).to_numpy(), pc.list_parent_indices(listed).to_numpy()
+        owner, found = rows.column("cluster").to_numpy(), []
+        for cluster in np.unique(owner):
+            r, asking = np.flatnonzero(owner == cluster), who[asks == cluster]
+            near = (code[r].astype(np.float64) * scale[r, None]).T
+            step = max(1, min(most, SCORES_AT_ONCE // len(r)))
+            for at in range(0, len(asking), step):
+                q = asking[at : at + step]
+                score = unit[q] @ near
+                if len(r) > k:
+                    known = np.partition(score - rest[r], len(r) - k, axis=1)[:, len(r) - k]
+                    floor[q] = np.maximum(floor[q], known)
+                i, j = np.nonzero(score + rest[r] >= floor[q][:, None] - ROUNDING)
+                found.append((q[i], r[j], score[i, j]))
+        q, r, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+        high = score + rest[r]
+        # Later clusters have raised the floor.
+        kept = high >= floor[q] - ROUNDING
+        q, r, score, high = q[kept], r[kept], score[kept], high[kept]
+        at_r = pa.array(r)
         return pa.Table.from_arrays(
             [
                 questions.column("query_id").take(pa.array(q)),
-                rows.column("cluster").take(pa.array(r)),
-                rows.column("id").take(pa.array(r)),
-                pa.array(score[r, q] - rest[r, 0]),
-                pa.array(score[r, q] + rest[r, 0]),
+                rows.column("cluster").take(at_r),
+                rows.column("id").take(at_r),
+                pa.array(score - rest[r], pa.float64()),
+                pa.array(high, pa.float64()),
             ],
             names,
         )
 
-    keys = ("cluster", "block", "part")
+    keys = ("group", "block", "part")
     ddl = f"query_id {key_type}, cluster int, id {id_type}, low double, high double"
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, ddl)
 
@@ -276,14 +319,15 @@ def search(index: ClusteredIndex, questions: DataFrame, k: int, query_id: str =
     id_type = table.schema["id"].dataType.simpleString()
     key_type = questions.schema[query_id].dataType.simpleString()
     asked = questions.select(F.col(query_id).alias("query_id"), _present(F.col("vector"), "vector"))
-    bounds = stage_table(_cluster_bounds(index, asked, k, key_type), "cluster-bounds")
+    kind = asked.schema["vector"].dataType.simpleString()
+    ddl = f"query_id {key_type}, vector {kind}, floor double, `group` int, clusters array<int>"
     lowest = F.lit(-2.0)
-    near = bounds.where("near").select("query_id", "vector", "cluster", lowest.alias("floor"))
+    near = asked.withColumn("floor", lowest).mapInArrow(_asked_clusters(index, k, True), ddl)
+    near = stage_table(near, "near-clusters")
     first = stage_table(_scan_codes(index, near, k, id_type, key_type), "near-codes")
     known = stage_table(_kth_low(first, k), "floors")
-    open_ = bounds.join(known, "query_id", "left").withColumn("floor", F.coalesce("floor", lowest))
-    more = open_.where(~F.col("near") & (F.col("bound") >= F.col("floor") - ROUNDING))
-    more = stage_table(more.select("query_id", "vector", "cluster", "floor"), "open-clusters")
+    open_ = asked.join(known, "query_id", "left").withColumn("floor", F.coalesce("floor", lowest))
+    more = stage_table(open_.mapInArrow(_asked_clusters(index, k, False), ddl), "open-clusters")
     second = _scan_codes(index, more, k, id_type, key_type)
     found = stage_table(first.unionByName(second), "coded")
     floors = _kth_low(found, k)
@@ -298,8 +342,8 @@ def search(index: ClusteredIndex, questions: DataFrame, k: int, query_id: str =
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     ranked = scored.withColumn("rank", F.row_number().over(best))
     ranked = ranked.withColumn("vectors_read", F.count("*").over(Window.partitionBy("query_id")))
-    scanned = near.select("query_id").unionByName(more.select("query_id")).groupBy("query_id")
-    scanned = scanned.agg(F.count("*").alias("clusters_read"))
+    scanned = near.select("query_id", "clusters").unionByName(more.select("query_id", "clusters")).groupBy("query_id")
+    scanned = scanned.agg(F.sum(F.size("clusters")).alias("clusters_read"))
     return ranked.where(F.col("rank") <= k).join(scanned, "query_id")
 
 
