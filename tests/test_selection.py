@@ -148,6 +148,40 @@ def test_large_clusters_are_searched_in_blocks(spark, tmp_path, monkeypatch):
     assert found_rows(got) == {(q, i, round(float(s), 6), r) for q, i, s, r in plain_top_k(rows, asked, 4)}
 
 
+def test_questions_meet_the_centres_a_few_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    centres = vectors._unit(rng.normal(size=(400, 64)))
+    index = clusters.ClusteredIndex(None, "", (), centres, np.full(400, 3.2), np.full(400, 500))
+    asked = rng.normal(size=(10_000, 64)).astype("float32")
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(10_000)), pa.array(list(asked)), pa.array(np.full(10_000, 0.9))], names=["query_id", "vector", "floor"]
+    )
+    tracemalloc.start()
+    got = {True: 0, False: 0}
+    for nearest in got:
+        for out in clusters._asked_clusters(index, 4, nearest)([batch]):
+            # A question's vector is copied once for each group of clusters, not for each cluster.
+            assert out.num_rows <= vectors.QUERIES_PER_PASS * 25
+            got[nearest] += sum(map(len, out.column("clusters").to_pylist()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == {True: 10_000, False: 399 * 10_000}
+    assert peak < 100e6
+
+
+def test_every_vector_a_question_through_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(clusters, "CODE_BLOCK", 90)
+    monkeypatch.setattr(clusters, "QUESTION_BLOCK", 60)
+    rows = bunched(400, bunches=3)
+    index = clusters.build_index(spark.createDataFrame(rows, ROWS), str(tmp_path / "index"), clusters=12)
+    got = clusters.search(index, spark.createDataFrame(rows, ASKED), 4).collect()
+    assert found_rows(got) == {(q, i, round(float(s), 6), r) for q, i, s, r in plain_top_k(rows, rows, 4)}
+
+
 def test_index_refuses_what_it_cannot_hold(spark, tmp_path):
     with pytest.raises(ValueError, match="at least one row"):
         clusters.build_index(spark.createDataFrame([], ROWS), str(tmp_path / "none"))
@@ -157,6 +191,39 @@ def test_index_refuses_what_it_cannot_hold(spark, tmp_path):
             clusters.search(index, spark.createDataFrame([(1, bad)], ASKED), 1).collect()
 
 
+# --- exact search by blocks ----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("rows", [100_000, 1_000_000])
+def test_blocks_copy_vectors_few_times(rows):
+    blocks, q_blocks = vectors.block_counts(rows, rows, 100)
+    assert rows / blocks <= 16384 and rows / q_blocks <= 16384
+    # Once for each block of the other side: 400 and 3900 of them for a million questions with blocks of 256.
+    assert rows * (blocks + q_blocks) <= rows * max(60, 2 * rows / 16384 + 2)
+
+
+@pytest.mark.parametrize("k", [1, 4, 500])
+def test_blocks_give_the_best_of_all(spark, monkeypatch, k):
+    monkeypatch.setattr(vectors, "CORPUS_BLOCK", 150)
+    monkeypatch.setattr(vectors, "QUESTION_BLOCK", 100)
+    monkeypatch.setattr(vectors, "FIRST_ROWS", 20)
+    # Many copies of one vector tie, and a third of a bunch nearly does.
+    rows = bunched(420, bunches=3)
+    rows += [(1000 + i, rows[30][1]) for i in range(60)]
+    got = vectors.top_k(spark.createDataFrame(rows, ROWS), spark.createDataFrame(rows, ASKED), k).collect()
+    assert found_rows(got) == {(q, i, round(float(s), 6), r) for q, i, s, r in plain_top_k(rows, rows, k)}
+
+
+def test_a_block_of_copies_gives_the_smallest_ids():
+    import pyarrow as pa
+
+    unit = vectors._unit(np.tile(np.arange(1.0, 9.0), (3000, 1)))
+    ids = pa.array(range(3000, 0, -1))
+    r, q, scores = vectors._best_of_block(unit, unit[:300], ids, 3)
+    assert {(int(a), ids[int(b)].as_py()) for a, b in zip(q, r, strict=True)} == {(a, b) for a in range(300) for b in (1, 2, 3)}
+    assert (scores == 1.0).all()
+
+
 # --- drift -------------------------------------------------------------------------------------
 
 

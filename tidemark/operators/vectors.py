@@ -15,9 +15,13 @@ from tidemark.functions import textfn
 
 # Question vectors of one block; up to one block of them goes to the tasks as it is.
 QUERIES_PER_PASS = 256
-# Corpus rows of one block, about, where both sides are dealt in blocks, and of a small corpus.
-CORPUS_BLOCK = 4096
+# Corpus rows and questions of one block, about, where both sides are dealt in blocks, and corpus rows of a
+# small corpus. A vector is copied once for each block of the other side, so blocks are large.
+CORPUS_BLOCK = 16384
+QUESTION_BLOCK = 16384
 LEAST_BLOCK = 256
+# Corpus rows of a block whose k best give a score that all its k best reach.
+FIRST_ROWS = 2048
 # Scores equal to this many decimals are a tie, broken by id.
 SCORE_DECIMALS = 6
 
@@ -150,12 +154,49 @@ def _score_batches(queries: np.ndarray, keys: list, k: int, key_type):
     return score
 
 
+def _best_of_block(part: np.ndarray, asked: np.ndarray, ids: pa.Array | pa.ChunkedArray, k: int):
+    """Row, question and score of exactly the k best of unit rows ``part`` for each of the unit rows ``asked``.
+
+    Single precision finds the rows that can be among the k best, by what k of the first rows reach; their
+    scores are then taken in double precision. A few questions at a time.
+    """
+    place = np.empty(len(part), np.int64)
+    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(part))
+    coarse, coarse_asked = part.astype(np.float32).T.copy(), asked.astype(np.float32)
+    # Single precision, and rounding of the scores compared.
+    slack = (part.shape[1] + 4) * 2.0**-22 + 2 * 10.0**-SCORE_DECIMALS
+    first, found = min(len(part), max(FIRST_ROWS, k)), []
+    for at in range(0, len(asked), QUERIES_PER_PASS):
+        some = asked[at : at + QUERIES_PER_PASS]
+        scores = coarse_asked[at : at + QUERIES_PER_PASS] @ coarse
+        edge = np.partition(scores[:, :first], max(first - k, 0), axis=1)[:, max(first - k, 0)]
+        q, r = np.divmod(np.flatnonzero(scores >= (edge - np.float32(slack))[:, None]), len(part))
+        if len(q) > 8 * (k + 64) * len(some):
+            # Many rows score alike: all scores in double precision, question by question.
+            exact = np.round(part @ some.T, SCORE_DECIMALS) + 0.0
+            r, q = _best(exact, ids, k)
+            found.append((r, q + at, exact[r, q]))
+            continue
+        exact = np.round(np.einsum("ij,ij->i", part[r], some[q]), SCORE_DECIMALS) + 0.0
+        order = np.lexsort((place[r], -exact, q))
+        q = q[order]
+        among = np.arange(len(q)) - np.searchsorted(q, q) < k
+        kept = order[among]
+        found.append((r[kept], q[among] + at, exact[kept]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def block_counts(rows: int, questions: int, spread: int) -> tuple[int, int]:
+    """Blocks of the corpus and of the questions: of bounded size, and enough of them for all tasks."""
+    q_blocks = max(1, -(-questions // QUESTION_BLOCK))
+    enough = min(-(-2 * spread // q_blocks), -(-rows // LEAST_BLOCK))
+    return max(1, -(-rows // CORPUS_BLOCK), enough), q_blocks
+
+
 def _score_blocks(corpus: DataFrame, asked: DataFrame, k: int, schema: str) -> DataFrame:
     """The k best of each question in each block of the corpus, for any number of questions."""
     spread = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows, questions = corpus.count(), asked.count()
-    blocks = max(1, -(-rows // CORPUS_BLOCK), min(spread, -(-rows // LEAST_BLOCK)))
-    q_blocks = max(1, -(-questions // QUERIES_PER_PASS))
+    blocks, q_blocks = block_counts(corpus.count(), asked.count(), spread)
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -171,14 +212,9 @@ def _score_blocks(corpus: DataFrame, asked: DataFrame, k: int, schema: str) -> D
             empty = [block.column("query_id")[:0], part.column("id")[:0], pa.array([], pa.float64())]
             return pa.Table.from_arrays(empty, names=["query_id", "id", "score"])
         unit = _matrix(block.column("vector"))
-        scores = np.round(_matrix(part.column("vector"), unit.shape[1]) @ unit.T, SCORE_DECIMALS) + 0.0
-        r, c = _best(scores, part.column("id"), k)
+        r, c, scores = _best_of_block(_matrix(part.column("vector"), unit.shape[1]), unit, part.column("id"), k)
         return pa.Table.from_arrays(
-            [
-                block.column("query_id").take(pa.array(c)),
-                part.column("id").take(pa.array(r)),
-                pa.array(scores[r, c]),
-            ],
+            [block.column("query_id").take(pa.array(c)), part.column("id").take(pa.array(r)), pa.array(scores)],
             names=["query_id", "id", "score"],
         )
 
