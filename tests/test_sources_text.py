@@ -342,6 +342,40 @@ def test_merges_of_many_short_words(spark):
     assert merges.independent_head(ranked, 3, set()) == ranked[:3]
 
 
+def test_words_are_spelled_alike_by_text_and_by_symbols(monkeypatch):
+    hexed = lambda text: "".join(f"{b:02X}" for b in text.encode())
+    made = [(hexed(a), hexed(b)) for a, b in [("a", "a"), ("aa", "a"), ("a", "b"), ("b", "aa"), ("ab", "ab"), ("aa", "aa")]]
+    words = ["".join(f"|{b:02X}|" for b in w.encode()) for w in ["a", "aaaaa", "aaaaaaaa", "abab", "baab", "aabaaab", "ababababab"]]
+    speller = merges.Speller(made)
+    by_text = [speller.spell(w) for w in words]
+    monkeypatch.setattr(merges, "FEW_MERGES", 0)
+    assert by_text == [speller.spell(w) for w in words]
+    assert [speller.fenced(w)[1:-1].split("||") for w in words] == by_text
+
+
+def test_changes_of_a_merge_are_those_of_its_surroundings():
+    import pyarrow as pa
+
+    words = ["".join(f"|{b:02X}|" for b in w) for w in (b"xabyz", b"aaaa", b"zzab", b"q")]
+    rows = pa.RecordBatch.from_arrays([pa.array(words * 2), pa.array([3, 5, 7, 1] * 2)], names=["word", "freq"])
+    out = [r for b in merges._merge([rows], [], [("61", "62")]) for r in b.to_pylist()]
+    moved = {(r["left"], r["right"]): r["n"] for r in out if r["left"] and r["word"] is None}
+    assert moved == {("78", "61"): -3, ("61", "62"): -10, ("62", "79"): -3, ("78", "6162"): 3, ("6162", "79"): 3, ("7A", "61"): -7, ("7A", "6162"): 7}
+    assert {(r["left"], r["right"], r["freq"]) for r in out if r["word"]} == {("78", "6162", 3), ("6162", "79", 3), ("7A", "6162", 7)}
+    assert [(r["merge"], r["saved"]) for r in out if r["merge"] is not None] == [(0, 10)]
+    # Each word is met once; two do not hold the pair.
+    assert [(r["n"], r["saved"]) for r in out if r["left"] is None and r["merge"] is None] == [(4, 2)]
+
+
+def test_the_report_cuts_its_texts_once(spark):
+    from tidemark.plans import reports
+
+    docs = spark.createDataFrame([("the cat the hat",), ("",)], "text string")
+    report = reports.corpus_report(docs, 2)
+    assert "regexp_extract_all" not in report["pretokens"]._jdf.queryExecution().toString()
+    assert {tuple(r) for r in report["pretokens"].collect()} == {("the", 1), (" cat", 1), (" the", 1), (" hat", 1)}
+
+
 def test_a_pass_reads_the_words_of_its_pairs_only(spark, sf):
     counts = corpus.pretoken_counts(spark.read.parquet(f"{sf}/documents.parquet").select("text")).cache()
     trained = merges.train_merges(counts, 40)
