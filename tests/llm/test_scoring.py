@@ -396,6 +396,9 @@ def test_queries_return_their_columns(spark, name):
         "op8": "doc_id keep_id group_size kept text_sha256",
         "op9": "doc_id n_words n_removed kept_sha256",
         "op10": "page_id url text n_chars",
+        "op11": "doc_id leaf subroot root proof_sha256 folded_root verified",
+        "op12": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+        "op13": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
     }[name.split("_")[0]]
     assert set(want.split()) <= set(queries.QUERIES[name](spark, "/root/testdata/sf0.001").columns)
 
